@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["cleaning", "joins", "aggregates", "windows", "tables", "scalars", "sources", "serving", "stateful", "training"]
+SECTIONS = ["cleaning", "joins", "aggregates", "windows", "tables", "scalars", "sources", "stateful", "training"]
 
 
 def load():

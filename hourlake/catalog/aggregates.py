@@ -1 +1,244 @@
-"""."""
+"""Aggregations and reports."""
+
+from pyspark.sql import functions as F
+
+from hourlake.catalog.joins import steady
+from hourlake.catalog.registry import query, r, rounded
+from hourlake.catalog.views import AS_OF, BIAS_DAYS, SQL_AS_OF
+from hourlake.catalog.windows import _BOARD, _STATUS, sync_status
+from hourlake.operators import evaluation, forecast, history, rollup, stations, tables
+from hourlake.plans import jobs
+
+_STATS = [f"{m}_{k}" for m in ("temperature", "humidity") for k in ("avg", "min", "max")]
+
+
+@query("a1_hourly_rollup", f"""SELECT device_id, location_id, province_id, hour_ts, {', '.join(f'{r(c)} AS {c}' for c in _STATS)},
+  record_count, {r('missing_ratio')} AS missing_ratio FROM hourly""")
+def a1(v):
+    return rounded(v.hourly)
+
+
+@query("a1_hourly_rollup_per_sensor", f"""SELECT sensor_id AS device_id, location_id, province_id, date_trunc('hour', event_ts) AS hour_ts,
+  {r('avg(temperature)')} AS temperature_avg, {r('avg(humidity)')} AS humidity_avg, CAST(count(*) AS INT) AS record_count
+  FROM silver WHERE quality_flag = 'valid' GROUP BY 1, 2, 3, 4""")
+def a1s(v):
+    s = rollup.hourly_rollup(v.silver.withColumn("device_id", F.col("sensor_id")))
+    return rounded(s.select("device_id", "location_id", "province_id", "hour_ts", "temperature_avg", "humidity_avg", "record_count"))
+
+
+@query("a2_source_profile", """SELECT event_type AS source_type, count(*) AS row_count, min(ts) AS first_ts, max(ts) AS last_ts
+  FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def a2(v):
+    e = v.events.select(F.col("event_type").alias("source_type"), F.col("ts").alias("event_ts"), "value")
+    return rollup.source_profile(e, "source_type", "value")
+
+
+@query("a3_recent_bias", f"SELECT device_id, location_id, metric_type, {r('bias_value')} AS bias_value, sample_count FROM bias")
+def a3(v):
+    return rounded(forecast.recent_bias(v.joined, BIAS_DAYS, AS_OF))
+
+
+@query("a4_forecast_wide", f"""SELECT device_id, location_id, forecast_ts, {r('temperature')} AS temperature, {r('humidity')} AS humidity, generated_at,
+  temperature_model_name, humidity_model_name, temperature_model_type, humidity_model_type FROM wide_forecast""")
+def a4(v):
+    return rounded(v.wide_forecast)
+
+
+@query("a5_forecast_wide_legacy", f"""SELECT device_id AS sensor_id, forecast_timestamp AS forecast_ts,
+  {r("max(CASE WHEN metric_type = 'temperature' THEN forecast_value END)")} AS temperature,
+  {r("max(CASE WHEN metric_type = 'humidity' THEN forecast_value END)")} AS humidity FROM forecast_rows GROUP BY 1, 2""")
+def a5(v):
+    f = v.forecast_rows.select(F.col("device_id").alias("sensor_id"), F.col("forecast_timestamp").alias("forecast_ts"), "metric_type",
+                               F.col("forecast_value").alias("y_pred"))
+    return rounded(forecast.forecast_wide_legacy(f))
+
+
+@query("a6_regression_metrics", f"""SELECT location_id, model_name, target_variable, count(*) AS n, {r('avg(abs(label - prediction))')} AS mae,
+    {r('avg(power(label - prediction, 2))')} AS mse, {r('sqrt(avg(power(label - prediction, 2)))')} AS rmse,
+    {r('CASE WHEN var_pop(label) > 0 THEN 1 - avg(power(label - prediction, 2)) / var_pop(label) ELSE 0 END')} AS r2,
+    {r('avg(CASE WHEN abs(label) > 1e-9 THEN abs((label - prediction) / label) END) * 100')} AS mape
+  FROM predictions WHERE label IS NOT NULL AND prediction IS NOT NULL GROUP BY 1, 2, 3""")
+def a6(v):
+    p = evaluation.baseline_predictions(v.series)
+    return rounded(evaluation.regression_metrics(p, "label", "prediction", ["location_id", "model_name", "target_variable"]).drop("rse"))
+
+
+@query("a7_location_candidates", """SELECT location_id, min(province_id) AS province_id, count(*) AS row_count FROM features
+  WHERE temp_target_1 IS NOT NULL AND temp_lag_24 IS NOT NULL GROUP BY 1 HAVING count(*) >= 100 ORDER BY 3 DESC, 1 LIMIT 10""")
+def a7(v):
+    return evaluation.location_candidates(v.features.dropna(subset=["temp_lag_24"]), "temp_target_1", 100, 10)
+
+
+@query("a8_metric_summary", f"""SELECT {', '.join(f"{r(f'avg(CASE WHEN metric_type = {q}{m}{q} THEN metric_value END)')} AS {m}_avg, "
+    f"{r(f'coalesce(sum(CASE WHEN metric_type = {q}{m}{q} THEN metric_value END), 0)')} AS {m}_total"
+    for q in ("'",) for m in ('temperature', 'humidity', 'soil_moisture', 'light_intensity', 'pressure'))}
+  FROM metrics WHERE event_ts >= {SQL_AS_OF} - INTERVAL 7200 MINUTE AND event_ts <= {SQL_AS_OF}""")
+def a8(v):
+    return rounded(rollup.metric_summary(v.metrics, 7200, AS_OF))
+
+
+@query("a9_count_by_status", f"WITH {_STATUS} SELECT status, count(*) AS row_count FROM sync_status GROUP BY 1")
+def a9(v):
+    return rollup.count_by(sync_status(v), ["status"])
+
+
+@query("a9_count_by_entity_model", "SELECT device_id, location_id, model_name, model_type, model_status, count(*) AS row_count FROM forecast_rows GROUP BY ALL")
+def a9e(v):
+    return rollup.count_by(v.forecast_rows, ["device_id", "location_id", "model_name", "model_type", "model_status"])
+
+
+@query("a10_forecast_coverage", """SELECT device_id, metric_type, count(*) AS row_count, min(forecast_timestamp) AS first_ts,
+  max(forecast_timestamp) AS last_ts, max(CAST(horizon_step AS INT)) AS max_horizon_step FROM forecast_rows GROUP BY 1, 2""")
+def a10(v):
+    return forecast.forecast_coverage(v.forecast_rows, ["device_id", "metric_type"])
+
+
+@query("a11_row_counts", """SELECT 'bronze' AS table_name, count(*) AS row_count FROM bronze_raw UNION ALL SELECT 'silver', count(*) FROM silver
+  UNION ALL SELECT 'hourly', count(*) FROM hourly UNION ALL SELECT 'joined', count(*) FROM joined UNION ALL SELECT 'forecast', count(*) FROM forecast_rows""")
+def a11(v):
+    return tables.row_counts({"bronze": v.bronze_raw, "silver": v.silver, "hourly": v.hourly, "joined": v.joined, "forecast": v.forecast_rows})
+
+
+@query("u2_union_row_counts", """SELECT 'events' AS table_name, count(*) AS row_count FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem
+  UNION ALL SELECT 'customer', count(*) FROM customer""")
+def u2(v):
+    return tables.row_counts({n: v.read(n) for n in ("events", "lineitem", "customer")})
+
+
+@query("a12_coverage", f"""
+  WITH spine AS (SELECT location_id, y.year FROM dim_location, (VALUES (2023), (2024)) y(year)),
+  seen AS (SELECT location_id, year(event_ts) AS year, count(*) AS n FROM reference GROUP BY 1, 2)
+  SELECT s.location_id, CAST(s.year AS INT) AS year, coalesce(n, 0) AS row_count,
+    CAST(date_diff('day', make_date(s.year, 1, 1), make_date(s.year + 1, 1, 1)) * 24 + 1 AS INT) AS expected_hours,
+    {r("coalesce(n, 0) / CAST(date_diff('day', make_date(s.year, 1, 1), make_date(s.year + 1, 1, 1)) * 24 + 1 AS DOUBLE)")} AS coverage_ratio,
+    CASE WHEN coalesce(n, 0) = 0 THEN 'failed'
+      WHEN n / CAST(date_diff('day', make_date(s.year, 1, 1), make_date(s.year + 1, 1, 1)) * 24 + 1 AS DOUBLE) >= 0.07 THEN 'success' ELSE 'partial' END AS status
+  FROM spine s LEFT JOIN seen ON seen.location_id = s.location_id AND seen.year = s.year""")
+def a12(v):
+    return rounded(rollup.coverage(v.reference, v.dim_location, [2023, 2024], 0.07))
+
+
+_SUMMARY = f"""{_STATUS}, summary AS (SELECT location_id, year, status, CASE WHEN finished_at IS NULL THEN 0 ELSE 1 END AS row_count FROM sync_status)"""
+
+
+@query("a13_collection_report", f"""
+  WITH {_SUMMARY},
+  far AS (SELECT location_id, 2024 AS year, station_id, distance_km FROM ranked_stations
+    WHERE coalesce(start_year, 2024) <= 2024 AND coalesce(end_year, 2024) >= 2024 AND distance_km > 200)
+  SELECT 'total' AS section, 'successful_pairs' AS item,
+    CAST((SELECT count(*) FROM (SELECT DISTINCT location_id, year FROM summary WHERE status IN ('success', 'partial') AND row_count > 0)) AS DOUBLE) AS amount
+  UNION ALL SELECT 'total', 'missing_pairs', (SELECT count(*) FROM summary WHERE NOT (status IN ('success', 'partial') AND row_count > 0))
+  UNION ALL SELECT 'total', 'missing_locations', (SELECT count(DISTINCT location_id) FROM summary WHERE NOT (status IN ('success', 'partial') AND row_count > 0))
+  UNION ALL (SELECT 'top_missing', location_id, count(*) FROM summary WHERE NOT (status IN ('success', 'partial') AND row_count > 0)
+    GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+  UNION ALL SELECT 'top_too_far', location_id || '/' || year || '/' || station_id, round(distance_km, 1) FROM (
+    SELECT * FROM far ORDER BY location_id, year, distance_km, station_id LIMIT 10)""")
+def a13(v):
+    s = sync_status(v).withColumn("row_count", F.when(F.col("finished_at").isNull(), 0).otherwise(1))
+    w = jobs.station_candidates(v).withColumn("year", F.lit(jobs.YEAR))
+    return stations.collection_report(s, w)
+
+
+def _chart_sql(grain, first, last):
+    inside = f"BETWEEN DATE '{first}' AND DATE '{last}'"
+    a = f"""a AS (SELECT sensor_id AS source, date_trunc('{grain}', event_ts + INTERVAL 7 HOUR) AS bucket_ts, avg(temperature) AS temperature, avg(humidity) AS humidity
+    FROM readings WHERE CAST(event_ts + INTERVAL 7 HOUR AS DATE) {inside} GROUP BY 1, 2)"""
+    f = f"""f AS (SELECT source, date_trunc('{grain}', forecast_ts + INTERVAL 7 HOUR) AS bucket_ts, avg(temperature) AS ft, avg(humidity) AS fh
+    FROM sensor_forecast WHERE CAST(forecast_ts + INTERVAL 7 HOUR AS DATE) {inside} GROUP BY 1, 2)"""
+    both = """b AS (SELECT coalesce(a.source, f.source) AS source, coalesce(a.bucket_ts, f.bucket_ts) AS bucket_ts, temperature, humidity, ft, fh
+    FROM a FULL JOIN f ON a.source = f.source AND a.bucket_ts = f.bucket_ts)"""
+    cols = f"{r('temperature')} AS temperature, {r('humidity')} AS humidity, {r('ft')} AS forecast_temperature, {r('fh')} AS forecast_humidity"
+    if grain == "hour":
+        return f"WITH {a}, {f}, {both} SELECT source, bucket_ts, {cols} FROM b"
+    return f"""WITH {a}, {f}, {both}, d AS (SELECT source, unnest(generate_series(TIMESTAMP '{first}', TIMESTAMP '{last}', INTERVAL 1 DAY)) AS bucket_ts
+      FROM (SELECT DISTINCT source FROM b))
+    SELECT d.source, d.bucket_ts, {cols} FROM d LEFT JOIN b ON b.source = d.source AND b.bucket_ts = d.bucket_ts"""
+
+
+def _chart(v, grain, first, last):
+    actual = v.readings.withColumnRenamed("sensor_id", "source")
+    return rounded(rollup.chart_rollup(actual, v.sensor_forecast, ["source"], grain, first, last))
+
+
+@query("a14_chart_rollup_day", _chart_sql("day", "2024-01-25", "2024-02-05"))
+def a14d(v):
+    return _chart(v, "day", "2024-01-25", "2024-02-05")
+
+
+@query("a14_chart_rollup_hour", _chart_sql("hour", "2024-01-31", "2024-01-31"))
+def a14h(v):
+    return _chart(v, "hour", "2024-01-31", "2024-01-31")
+
+
+@query("a15_value_stats", f"""SELECT metric_type, {r('min(metric_value)')} AS min_value, {r('avg(metric_value)')} AS avg_value, {r('max(metric_value)')} AS max_value
+  FROM metrics GROUP BY 1""")
+def a15(v):
+    return rounded(rollup.value_stats(v.metrics, ["metric_type"], "metric_value"))
+
+
+@query("a15_value_stats_by_label", f"""SELECT strftime(event_ts, '%H:%M') AS label, {r('min(metric_value)')} AS min_value, {r('avg(metric_value)')} AS avg_value,
+  {r('max(metric_value)')} AS max_value FROM metrics GROUP BY 1""")
+def a15l(v):
+    m = v.metrics.withColumn("label", F.date_format("event_ts", "HH:mm"))
+    return rounded(rollup.value_stats(m, ["label"], "metric_value"))
+
+
+@query("a16_minute_last", """SELECT sensor_id, date_trunc('minute', event_ts) AS minute_ts,
+  arg_max(temperature, (event_ts, id)) FILTER (temperature IS NOT NULL) AS temperature,
+  arg_max(humidity, (event_ts, id)) FILTER (humidity IS NOT NULL) AS humidity FROM readings GROUP BY 1, 2""")
+def a16(v):
+    return rollup.minute_last(v.readings, ["sensor_id"])
+
+
+@query("a17_to_wide", f"""SELECT sensor_id, date_trunc('hour', event_ts) AS bucket_ts, {r("avg(metric_value) FILTER (metric_type = 'temperature')")} AS temperature,
+  {r("avg(metric_value) FILTER (metric_type = 'humidity')")} AS humidity FROM metrics GROUP BY 1, 2""")
+def a17(v):
+    return rounded(rollup.to_wide(v.metrics, ["sensor_id"]))
+
+
+@query("a18_model_report", """SELECT target_variable, count(*) AS rows, count(*) FILTER (training_mode = 'global') AS global_rows,
+  count(*) FILTER (training_mode = 'per_location') AS location_rows, count(DISTINCT model_name) AS model_names, count(DISTINCT model_type) AS model_types,
+  max(created_at) AS latest_created_at, arg_min(model_name, (round(rmse, 9), model_name)) AS best_model FROM model_metrics GROUP BY 1""")
+def a18(v):
+    return evaluation.model_report(steady(v.model_metrics))
+
+
+@query("a19_inbox", """
+  SELECT c.id AS conversation_id, coalesce(arg_max(substr(m.content, 1, 120), m.turn), '') AS last_message_preview,
+    count(*) FILTER (m.sender_type IN ('admin', 'system') AND (c.last_read_by_user_at IS NULL OR m.created_at > c.last_read_by_user_at)) AS unread_for_user,
+    count(*) FILTER (m.sender_type = 'user' AND (c.last_read_by_admin_at IS NULL OR m.created_at > c.last_read_by_admin_at)) AS unread_for_admin
+  FROM chat_conversations c LEFT JOIN chat_messages m ON m.conversation_id = c.id GROUP BY 1""")
+def a19(v):
+    return history.inbox(v.chat_conversations, v.chat_messages, ["created_at", "turn"])
+
+
+@query("a20_user_context", f"""
+  WITH own AS (SELECT user_id, source FROM iot_devices WHERE is_active),
+  last AS (SELECT sensor_id, max(event_ts) AS ts FROM readings GROUP BY 1),
+  rec AS (SELECT o.user_id, a.id, a.created_at, row_number() OVER (PARTITION BY o.user_id ORDER BY a.created_at DESC, a.id DESC) AS rn
+    FROM alert_table a JOIN own o ON o.source = a.source WHERE a.created_at >= {SQL_AS_OF} - INTERVAL 240 HOUR)
+  SELECT u.user_id, (SELECT count(*) FROM own o WHERE o.user_id = u.user_id) AS active_devices,
+    (SELECT count(*) FROM own o JOIN last l ON l.sensor_id = o.source WHERE o.user_id = u.user_id) AS sensors_with_reading,
+    (SELECT max(l.ts) FROM own o JOIN last l ON l.sensor_id = o.source WHERE o.user_id = u.user_id) AS latest_event_ts,
+    (SELECT least(20, count(*)) FROM rec WHERE rec.user_id = u.user_id) AS recent_alerts,
+    coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) FROM rec WHERE rec.user_id = u.user_id AND rn <= 5), '') AS alert_sample
+  FROM users u""")
+def a20(v):
+    return history.user_context(v.users, v.iot_devices, v.readings, v.alert_table, AS_OF, hours=240)
+
+
+@query("a21_admin_stats", """SELECT (SELECT count(*) FROM users) AS users, (SELECT count(*) FROM users WHERE user_id % 4 = 0) AS pending_users,
+  (SELECT count(*) FROM alert_table) AS alerts, (SELECT count(*) FROM alert_table WHERE resolved_at IS NULL) AS open_alerts,
+  (SELECT count(DISTINCT source) FROM iot_devices) AS sensors""")
+def a21(v):
+    return history.admin_stats(v.users.withColumn("is_approved", F.col("user_id") % 4 != 0), v.alert_table, v.iot_devices)
+
+
+@query("a22_distinct_values", "SELECT DISTINCT metric_type, source FROM alert_table")
+def a22(v):
+    return v.alert_table.select("metric_type", "source").distinct()
+
+
+@query("a22_location_count", "SELECT count(DISTINCT location_id) AS locations FROM features")
+def a22c(v):
+    return v.features.agg(F.count_distinct("location_id").alias("locations"))

@@ -110,9 +110,9 @@ def p10(v):
     return history.between(v.metrics, history.resolve_window(DAY2, DAY1, 60, AS_OF)).select("id", "event_ts")
 
 
-@query("p11_fresh_only", f"""SELECT * FROM (SELECT id, sensor_id, event_ts, metric_value,
-    row_number() OVER (PARTITION BY sensor_id ORDER BY event_ts DESC, id DESC) AS rn FROM metrics) WHERE rn = 1
-    AND event_ts >= {SQL_AS_OF} - INTERVAL 86400 SECOND""".replace("SELECT * FROM", "SELECT * EXCLUDE (rn) FROM", 1))
+@query("p11_fresh_only", f"""SELECT id, sensor_id, event_ts, metric_value FROM (SELECT *,
+    row_number() OVER (PARTITION BY sensor_id ORDER BY event_ts DESC, id DESC) AS rn FROM metrics)
+  WHERE rn = 1 AND event_ts >= {SQL_AS_OF} - INTERVAL 86400 SECOND""")
 def p11(v):
     return history.fresh_only(v.metrics, ["sensor_id"], 86_400, AS_OF).select("id", "sensor_id", "event_ts", "metric_value")
 

@@ -4,6 +4,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hourlake.catalog.views import CTES, Views
 from hourlake.session import ensure_utc
@@ -48,13 +49,23 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+# Averages of two-decimal values often end in an exact half at the last digit kept,
+# where the order of summation decides the rounding. Both sides shift by the same
+# small amount first, so that no such value sits on a half.
+NUDGE = 0.013
+
+
+def shown(c, digits: int = 6):
+    return F.round(c + F.lit(NUDGE * 10**-digits), digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; -0.0 becomes 0.0."""
-    from pyspark.sql import functions as F
-
     return df.select(
         *[
-            (F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c)
+            shown(F.col(c), digits).alias(c)
+            if t in ("double", "float")
+            else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -62,4 +73,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expr: str, digits: int = 6) -> str:
     """SQL twin of `rounded` for one expression."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(({expr}) + {NUDGE * 10**-digits:.3e}, {digits}) + 0.0)"

@@ -135,5 +135,5 @@ def auto_register(metrics: DataFrame, devices: DataFrame) -> DataFrame:
     fresh = pairs.join(known, ["source", "device_type"], "left_anti").join(owner, "source", "left_semi")
     return fresh.join(template.drop("device_type"), "source").select(
         "source", "device_type", "user_id", F.col("id").alias("template_id"), "name",
-        measure.default_unit(F.col("device_type")).alias("unit"), "is_active",
+        measure.default_unit(F.col("device_type")).alias("unit"), F.lit(True).alias("is_active"), F.lit(False).alias("alert_enabled"),
     )

@@ -5,6 +5,8 @@ bounded by the time span, never by the volume of raw readings. All windows of
 one frame key share one shuffle and one sort.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +113,13 @@ def hour_spine(base: DataFrame) -> DataFrame:
     hours = span.select(
         *SERIES, "_p", F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 HOUR"))).alias("hour_ts")
     )
-    on = [hours[k].eqNullSafe(base[k]) for k in [*SERIES, "hour_ts"]]
-    rest = [c for c in base.columns if c not in (*SERIES, "hour_ts", "province_id")]
-    return hours.join(base, on, "left").select(
-        *[hours[k] for k in [*SERIES, "hour_ts"]],
-        F.coalesce(base["province_id"], hours["_p"]).alias("province_id"),
-        *[base[c] for c in rest],
+    keys = [*SERIES, "hour_ts"]
+    on = reduce(lambda x, y: x & y, [F.col(f"h.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    rest = [c for c in base.columns if c not in (*keys, "province_id")]
+    return hours.alias("h").join(base.alias("b"), on, "left").select(
+        *[F.col(f"h.{k}") for k in keys],
+        F.coalesce("b.province_id", "h._p").alias("province_id"),
+        *[F.col(f"b.{c}") for c in rest],
     )
 
 

@@ -6,6 +6,8 @@ chunk is then finished on its own with the carried-in value. The result equals
 the plain window over the whole series.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ def _carry(df: DataFrame, keys: list[str], summary: dict[str, Column], fold: dic
     parts = df.groupBy(*keys, "_chunk").agg(*[c.alias(k) for k, c in summary.items()])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(*keys, "_chunk", *[c.over(before).alias(k) for k, c in fold.items()])
-    on = [df[k].eqNullSafe(carried[k]) for k in [*keys, "_chunk"]]
-    joined = df.join(carried, on, "left")
-    return joined.select(*[df[c] for c in df.columns], *[carried[k] for k in fold])
+    on = reduce(
+        lambda x, y: x & y, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_chunk"]]
+    )
+    return df.alias("r").join(carried.alias("c"), on, "left").select("r.*", *[F.col(f"c.{k}") for k in fold])
 
 
 def running_max_before(df, keys, order: list[Column], ts: str, value: str, out: str, seconds=CHUNK_SECONDS):

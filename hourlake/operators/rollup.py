@@ -129,6 +129,6 @@ def chart_rollup(actual: DataFrame, forecast: DataFrame, keys: list[str], grain:
     if grain != "day":
         return both
     days = both.select(*keys).distinct().withColumn(
-        "bucket_ts", F.explode(F.sequence(lo, hi)).cast("timestamp")
+        "bucket_ts", F.explode(F.sequence(lo.cast("timestamp"), hi.cast("timestamp"), F.expr("INTERVAL 1 DAY")))
     )
     return days.join(both, [*keys, "bucket_ts"], "left")

@@ -79,15 +79,15 @@ def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, seco
     work = df.withColumns({"_kind": kind.cast("int"), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
     work = work.where(F.col("_kind").isNotNull() & F.col("_us").isNotNull())
     work = work.withColumn("_chunk", F.floor(F.col("_us") / F.lit(float(span))))
-    types = dict(work.dtypes)
+    types, out_cols = dict(work.dtypes), df.columns
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key, pdf):
         pdf = pdf.sort_values(["_us", tie])
         p, e, fixed = _summary(pdf["_us"].to_numpy(), pdf["_kind"].to_numpy(), int(key[-1]) * span, gap)
         return pd.DataFrame([[*key, p.tolist(), e.tolist(), fixed]], columns=[*keys, "_chunk", "p", "e", "after"])
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key, pdf):
         state, out = NONE, []
         for _, r in pdf.sort_values("_chunk").iterrows():
             out.append([*key, r["_chunk"], state])
@@ -99,10 +99,10 @@ def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, seco
                 state = int(r["after"])
         return pd.DataFrame(out, columns=[*keys, "_chunk", "_state"])
 
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(key, pdf):
         pdf = pdf.sort_values(["_us", tie]).reset_index(drop=True)
         fired, _ = _replay(pdf["_us"].to_numpy(), pdf["_kind"].to_numpy(), int(pdf["_state"].iloc[0]), gap)
-        return pdf.iloc[fired][df.columns]
+        return pdf.iloc[fired][out_cols]
 
     parts = work.select(*keys, "_chunk", "_us", tie, "_kind").groupBy(*keys, "_chunk").applyInPandas(
         summarise, f"{key_ddl}, _chunk bigint, p array<bigint>, e array<bigint>, after bigint"

@@ -78,7 +78,8 @@ def drop_stale_stream(stream: DataFrame, key: str, seq: str, ts: str) -> DataFra
         before = us.cummax().shift(1, fill_value=NONE).clip(lower=top)
         keep = rows[ts].isna() | (us > before)
         state.update((max(top, int(us.max())),))
-        yield rows[keep][out_cols]
+        if keep.any():
+            yield rows[keep][out_cols]
 
     return stream.groupBy(key).applyInPandasWithState(
         step, stream.schema, "top bigint", "append", GroupStateTimeout.NoTimeout
@@ -97,7 +98,8 @@ def cooldown_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, statu
         kind = rows[status].notna().astype("int64").to_numpy()
         fired, last = _replay(t, kind, state.get[0] if state.exists else NONE, gap)
         state.update((last,))
-        yield rows.iloc[fired][out_cols]
+        if fired:
+            yield rows.iloc[fired][out_cols]
 
     return stream.groupBy(*keys).applyInPandasWithState(
         step, stream.schema, "last bigint", "append", GroupStateTimeout.NoTimeout
@@ -118,7 +120,7 @@ def actuator_stream(stream: DataFrame, key: str, ts: str, tie: str) -> DataFrame
         carry = dict(zip(names, state.get)) if state.exists else dict(zip(names, (True, False, False, False)))
 
         def settle(event: pd.Series, initial: bool) -> pd.Series:
-            return event.ffill().fillna(initial).astype(bool)
+            return event.astype("boolean").ffill().fillna(initial).astype(bool)
 
         obj = lambda c: rows[c].astype("object").where(rows[c].notna(), None)
         auto = settle(obj("set_auto"), carry["auto"])
