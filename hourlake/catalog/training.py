@@ -1 +1,139 @@
-"""."""
+"""Model training and model forecasts. Fitted models have no SQL twin; their inputs and scores do."""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from hourlake.catalog.registry import query, r, rounded
+from hourlake.catalog.views import AS_OF
+from hourlake.operators import evaluation, features
+from hourlake.plans import training
+
+MIN_ROWS = 100
+
+
+def frame(v):
+    return training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True))
+
+
+@query("m1_preprocess")
+def m1(v):
+    from pyspark.ml import Pipeline
+
+    df = frame(v).dropna(subset=training.NUMERIC)
+    out = Pipeline(stages=training.preprocess_stages()).fit(df).transform(df)
+    return out.select("location_id", "device_id", "hour_ts", F.size(vector_to_array("features")).alias("inputs"))
+
+
+@query("m2_model_specs")
+def m2(v):
+    metrics, _ = training.train_global(frame(v), AS_OF, {"temperature": "temp_target_1"}, "full", trees=5)
+    return rounded(metrics.select("model_name", "target_variable", "mae", "rmse", "r2", "quality_label", "is_best"))
+
+
+@query("m3_mark_split", """
+  WITH s AS (SELECT hour_ts FROM (SELECT hour_ts, row_number() OVER (ORDER BY hour_ts) AS rn, count(*) OVER () AS n FROM series)
+    WHERE rn = greatest(1, CAST(floor(n * 0.8) AS BIGINT)))
+  SELECT hour_ts >= (SELECT hour_ts FROM s) AS is_test, count(*) AS n FROM series GROUP BY 1""")
+def m3(v):
+    return evaluation.mark_split(v.series).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m3_mark_split_approximate")
+def m3a(v):
+    return evaluation.mark_split(v.series, exact=False).groupBy("is_test", "split_ts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m4_train_global")
+def m4(v):
+    metrics, _ = training.train_global(frame(v), AS_OF, profile="quick", trees=10)
+    return rounded(metrics.select("model_name", "target_variable", "training_mode", "mae", "rmse", "r2", "training_points", "test_points", "is_best"))
+
+
+@query("m5_final_refit")
+def m5(v):
+    df = frame(v)
+    _, models = training.train_global(df, AS_OF, {"humidity": "humidity_target_1"}, "quick", final_refit=True, trees=5)
+    out = models["humidity", "Spark Linear Regression"].transform(df.dropna(subset=training.NUMERIC))
+    return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"))
+
+
+@query("m6_train_per_location")
+def m6(v):
+    metrics, _ = training.train_per_location(frame(v), AS_OF, min_rows=MIN_ROWS)
+    return rounded(metrics.select("location_id", "target_variable", "mae", "rmse", "r2", "test_points", "is_best"))
+
+
+_XY = "(SELECT location_id, device_id, hour_ts, temperature, temp_target_1 AS y FROM features WHERE temp_target_1 IS NOT NULL)"
+
+
+@query("m6_location_lines", f"""
+  WITH c AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY hour_ts, coalesce(device_id, 'meteostat_only')) AS i,
+      count(*) OVER (PARTITION BY location_id) AS n FROM {_XY})
+  SELECT location_id, {r('regr_intercept(y, temperature)', 4)} AS intercept, {r('regr_slope(y, temperature)', 4)} AS slope FROM c
+  WHERE n >= 100 AND i <= greatest(1, CAST(floor(n * 0.8) AS BIGINT)) GROUP BY 1""")
+def m6l(v):
+    """The same solver with one input and no penalty is the least-squares line of each place."""
+    df = training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True))
+    rows = training.location_split(df, "temp_target_1", ["temperature"], MIN_ROWS, training.LOCATION_MAX_ROWS)
+    w = training.location_coefficients(rows.where("NOT is_test"), "temp_target_1", ["temperature"], l2=0.0)
+    return rounded(w.select("location_id", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope")), 4)
+
+
+def linear(v, df, target="temperature"):
+    from pyspark.ml import Pipeline
+
+    label = training.TARGETS[target]
+    est = training.model_specs(label, "quick")["Spark Linear Regression"]
+    return Pipeline(stages=[*training.preprocess_stages(), est]).fit(df.dropna(subset=[*training.NUMERIC, label]))
+
+
+@query("m10_recursive_forecast")
+def m10(v):
+    df = frame(v)
+    return rounded(training.recursive_forecast(linear(v, df), v.series, "temperature", 24, AS_OF))
+
+
+@query("m11_direct_forecast")
+def m11(v):
+    from pyspark.ml import Pipeline
+
+    df = frame(v).withColumn("temp_target_24", F.lead("temperature", 24).over(features.series_window()))
+    est = training.model_specs("temp_target_24", "quick")["Spark Linear Regression"]
+    model = Pipeline(stages=[*training.preprocess_stages(), est]).fit(df.dropna(subset=[*training.NUMERIC, "temp_target_24"]))
+    return rounded(training.direct_forecast(model, df, 24))
+
+
+@query("m14_force_refit")
+def m14(v):
+    df = frame(v)
+    model = training.load_or_refit(None, df, "loc34_nation_3", "humidity_target_1", "Spark Decision Tree", force_refit=True)
+    out = model.transform(df.where("location_id = 'loc34_nation_3'"))
+    return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"))
+
+
+@query("m15_refit_local")
+def m15(v):
+    df = frame(v).withColumn("meteostat_humidity", F.lit(None).cast("double"))
+    model = training.refit_local(df, "loc34_nation_5", "temp_target_1", "Spark Linear Regression")
+    out = model.transform(df.where("location_id = 'loc34_nation_5'").withColumn("meteostat_humidity", F.lit(0.0)))
+    return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"))
+
+
+@query("m17_sequence_stats", f"""
+  WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY location_id, device_id ORDER BY hour_ts) - 1 AS k FROM series
+      WHERE meteostat_temperature IS NOT NULL AND meteostat_humidity IS NOT NULL),
+  labels AS (SELECT location_id, device_id, hour_ts, k FROM numbered WHERE k >= 24),
+  split AS (SELECT hour_ts FROM (SELECT hour_ts, row_number() OVER (ORDER BY hour_ts) AS rn, count(*) OVER () AS n FROM labels)
+    WHERE rn = greatest(1, CAST(floor(n * 0.8) AS BIGINT))),
+  steps AS (SELECT s.* FROM labels l JOIN numbered s ON s.location_id = l.location_id AND s.device_id = l.device_id AND s.k BETWEEN l.k - 24 AND l.k - 1
+    WHERE l.hour_ts < (SELECT hour_ts FROM split))
+  SELECT feature, {r('avg(x)')} AS mean, {r('greatest(var_pop(x), 1e-6)', 4)} AS variance FROM (
+    SELECT 'temperature' AS feature, CAST(CAST(temperature AS FLOAT) AS DOUBLE) AS x FROM steps UNION ALL SELECT 'humidity', CAST(CAST(humidity AS FLOAT) AS DOUBLE) FROM steps
+    UNION ALL SELECT 'meteostat_temperature', CAST(CAST(meteostat_temperature AS FLOAT) AS DOUBLE) FROM steps
+    UNION ALL SELECT 'meteostat_humidity', CAST(CAST(meteostat_humidity AS FLOAT) AS DOUBLE) FROM steps) GROUP BY 1""")
+def m17(v):
+    from hourlake.catalog.registry import shown
+
+    seqs = training.sequence_split(features.sequence_windows(v.series, "temperature", 24))
+    stats = training.sequence_stats(seqs.where("NOT is_test"))
+    return stats.select("feature", shown(F.col("mean")).alias("mean"), shown(F.col("variance"), 4).alias("variance"))
