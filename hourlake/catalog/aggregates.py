@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hourlake.catalog.joins import steady
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF, BIAS_DAYS, SQL_AS_OF
+from hourlake.catalog.views import as_of, BIAS_DAYS, SQL_AS_OF
 from hourlake.catalog.windows import _BOARD, _STATUS, sync_status
 from hourlake.operators import evaluation, forecast, history, rollup, stations, tables
 from hourlake.plans import jobs
@@ -35,7 +35,7 @@ def a2(v):
 
 @query("a3_recent_bias", f"SELECT device_id, location_id, metric_type, {r('bias_value')} AS bias_value, sample_count FROM bias")
 def a3(v):
-    return rounded(forecast.recent_bias(v.joined, BIAS_DAYS, AS_OF))
+    return rounded(forecast.recent_bias(v.joined, BIAS_DAYS, as_of()))
 
 
 @query("a4_forecast_wide", f"""SELECT device_id, location_id, forecast_ts, {r('temperature')} AS temperature, {r('humidity')} AS humidity, generated_at,
@@ -74,7 +74,7 @@ def a7(v):
     for q in ("'",) for m in ('temperature', 'humidity', 'soil_moisture', 'light_intensity', 'pressure'))}
   FROM metrics WHERE event_ts >= {SQL_AS_OF} - INTERVAL 7200 MINUTE AND event_ts <= {SQL_AS_OF}""")
 def a8(v):
-    return rounded(rollup.metric_summary(v.metrics, 7200, AS_OF))
+    return rounded(rollup.metric_summary(v.metrics, 7200, as_of()))
 
 
 @query("a9_count_by_status", f"WITH {_STATUS} SELECT status, count(*) AS row_count FROM sync_status GROUP BY 1")
@@ -224,7 +224,7 @@ def a19(v):
     coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) FROM rec WHERE rec.user_id = u.user_id AND rn <= 5), '') AS alert_sample
   FROM users u""")
 def a20(v):
-    return history.user_context(v.users, v.iot_devices, v.readings, v.alert_table, AS_OF, hours=240)
+    return history.user_context(v.users, v.iot_devices, v.readings, v.alert_table, as_of(), hours=240)
 
 
 @query("a21_admin_stats", """SELECT (SELECT count(*) FROM users) AS users, (SELECT count(*) FROM users WHERE user_id % 4 = 0) AS pending_users,

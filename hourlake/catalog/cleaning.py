@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF, SQL_AS_OF
+from hourlake.catalog.views import as_of, SQL_AS_OF
 from hourlake.functions import measure
 from hourlake.operators import features, history, matching, quality, stations
 from hourlake.plans import jobs
@@ -33,7 +33,7 @@ def p1(v):
         "device_id", "location_id", "province_id", "humidity",
         F.when(k % 7 == 0, "not a time").otherwise(F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss")).alias("event_ts"),
         F.when(k % 5 == 0, "abc").otherwise(F.col("temperature").cast("string")).alias("temperature"))
-    return quality.project_raw(raw, AS_OF)
+    return quality.project_raw(raw, as_of())
 
 
 @query("p2_quality_flag", "SELECT event_id, quality_flag FROM silver")
@@ -95,7 +95,7 @@ def p7(v):
 @query("p8_history", f"""SELECT id, sensor_id, event_ts, metric_value FROM metrics
   WHERE metric_type = 'temperature' AND event_ts >= {SQL_AS_OF} - INTERVAL 4320 MINUTE""")
 def p8(v):
-    return history.history(v.metrics, "temperature", 4320, AS_OF).select("id", "sensor_id", "event_ts", "metric_value")
+    return history.history(v.metrics, "temperature", 4320, as_of()).select("id", "sensor_id", "event_ts", "metric_value")
 
 
 @query("p9_history_by_date", f"""SELECT id, event_ts FROM metrics WHERE event_ts >= TIMESTAMP '{DAY1}' - INTERVAL 7 HOUR
@@ -107,14 +107,14 @@ def p9(v):
 @query("p10_resolve_window", f"""SELECT id, event_ts FROM metrics WHERE event_ts >= TIMESTAMP '{DAY1} 00:00:00'
   AND event_ts <= TIMESTAMP '{DAY2} 23:59:59.999999'""")
 def p10(v):
-    return history.between(v.metrics, history.resolve_window(DAY2, DAY1, 60, AS_OF)).select("id", "event_ts")
+    return history.between(v.metrics, history.resolve_window(DAY2, DAY1, 60, as_of())).select("id", "event_ts")
 
 
 @query("p11_fresh_only", f"""SELECT id, sensor_id, event_ts, metric_value FROM (SELECT *,
     row_number() OVER (PARTITION BY sensor_id ORDER BY event_ts DESC, id DESC) AS rn FROM metrics)
   WHERE rn = 1 AND event_ts >= {SQL_AS_OF} - INTERVAL 86400 SECOND""")
 def p11(v):
-    return history.fresh_only(v.metrics, ["sensor_id"], 86_400, AS_OF).select("id", "sensor_id", "event_ts", "metric_value")
+    return history.fresh_only(v.metrics, ["sensor_id"], 86_400, as_of()).select("id", "sensor_id", "event_ts", "metric_value")
 
 
 _REASON = """CASE WHEN trim(sensor_id) = '' THEN 'blank_sensor_id'
@@ -152,7 +152,7 @@ def p13(v):
     AND (contains(lower(metric_type), 'sensor_1') OR contains(lower(source), 'sensor_1') OR contains(lower(status), 'sensor_1')
       OR contains(lower(alert_origin), 'sensor_1'))""")
 def p14(v):
-    df = history.alerts_query(v.alert_table, AS_OF, hours=360, unresolved=True, metric="temperature", text=" Sensor_1 ")
+    df = history.alerts_query(v.alert_table, as_of(), hours=360, unresolved=True, metric="temperature", text=" Sensor_1 ")
     return df.select("id", "source", "metric_type", "status")
 
 
@@ -183,7 +183,7 @@ def p16(v):
 def p17(v):
     span = (F.lit("2024-01-20").cast("timestamp"), F.lit("2024-02-02").cast("timestamp"))
     actual = v.metrics.withColumnRenamed("sensor_id", "source")
-    out = history.future_only(v.sensor_forecast, actual, ["source"], AS_OF, span)
+    out = history.future_only(v.sensor_forecast, actual, ["source"], as_of(), span)
     return rounded(out.select("source", "forecast_ts", "temperature"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF, BIAS_DAYS, SQL_AS_OF
+from hourlake.catalog.views import as_of, BIAS_DAYS, SQL_AS_OF
 from hourlake.operators import access, alerts, entities, evaluation, forecast, matching, stations
 from hourlake.operators.ranking import latest_batch
 from hourlake.plans import jobs
@@ -260,20 +260,20 @@ _BREACH = f"""tgt AS (SELECT * FROM iot_devices WHERE is_active AND alert_enable
 
 
 def _breaches(v):
-    return alerts.first_breaches(v.sensor_forecast, alerts.forecast_devices(v.iot_devices), AS_OF)
+    return alerts.first_breaches(v.sensor_forecast, alerts.forecast_devices(v.iot_devices), as_of())
 
 
 def _existing(v):
     """Alerts raised by an earlier scan: those of every third device, a day ago; the others three days ago."""
     third = F.substring("source", 8, 20).cast("int") % 3 == 0
-    ago = F.unix_seconds(AS_OF) - F.when(third, 86_400).otherwise(3 * 86_400)
+    ago = F.unix_seconds(as_of()) - F.when(third, 86_400).otherwise(3 * 86_400)
     return _breaches(v).withColumns({"alert_origin": F.lit("forecast"), "created_at": F.timestamp_seconds(ago)})
 
 
 @query("j14_new_alerts", f"""WITH {_BREACH} SELECT source, metric_type, direction, forecast_ts AS forecast_timestamp,
   {r('current_value')} AS current_value FROM fresh""")
 def j14(v):
-    out = alerts.new_alerts(_breaches(v), _existing(v), AS_OF)
+    out = alerts.new_alerts(_breaches(v), _existing(v), as_of())
     return rounded(out.select("source", "metric_type", "direction", "forecast_timestamp", "current_value"))
 
 
@@ -295,13 +295,13 @@ _REPORT = f"""WITH {_BREACH}
 
 @query("x10_forecast_scan", f"""WITH {_BREACH} SELECT source, device_id, metric_type, status, threshold FROM fresh""")
 def x10(v):
-    created, _ = jobs.forecast_scan(v.sensor_forecast, v.iot_devices, _existing(v), AS_OF)
+    created, _ = jobs.forecast_scan(v.sensor_forecast, v.iot_devices, _existing(v), as_of())
     return created.select("source", "device_id", "metric_type", "status", "threshold")
 
 
 @query("a23_scan_report", _REPORT)
 def a23(v):
-    return jobs.forecast_scan(v.sensor_forecast, v.iot_devices, _existing(v), AS_OF)[1]
+    return jobs.forecast_scan(v.sensor_forecast, v.iot_devices, _existing(v), as_of())[1]
 
 
 @query("j15_enrich_readings", """
@@ -340,7 +340,7 @@ def j16(v):
 @query("j17_forecast_grid", f"""SELECT device_id, location_id, m.metric_type, CAST(s.step AS INT) AS horizon_step,
   {SQL_AS_OF} + to_hours(CAST(s.step AS INT)) AS forecast_timestamp FROM entities, (VALUES ('temperature'), ('humidity')) m(metric_type), range(1, 169) s(step)""")
 def j17(v):
-    return forecast.forecast_grid(v.entities, 168, AS_OF).select(
+    return forecast.forecast_grid(v.entities, 168, as_of()).select(
         "device_id", "location_id", "metric_type", "horizon_step", "forecast_timestamp")
 
 
@@ -349,8 +349,8 @@ def j17(v):
   FROM entities e CROSS JOIN (VALUES ('temperature'), ('humidity')) m(metric_type)
   LEFT JOIN bias b ON b.device_id = e.device_id AND b.location_id = e.location_id AND b.metric_type = m.metric_type""")
 def m12(v):
-    bias = forecast.recent_bias(v.joined, BIAS_DAYS, AS_OF)
-    return rounded(forecast.calibration_profile(v.entities, bias, BIAS_DAYS, AS_OF))
+    bias = forecast.recent_bias(v.joined, BIAS_DAYS, as_of())
+    return rounded(forecast.calibration_profile(v.entities, bias, BIAS_DAYS, as_of()))
 
 
 @query("x12_notification_targets", """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF, SQL_AS_OF
+from hourlake.catalog.views import as_of, SQL_AS_OF
 from hourlake.functions import geo, measure, messages, models, text, when
 
 
@@ -44,7 +44,7 @@ def f4(v):
 def f5(v):
     k, iso = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     raw = F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, iso).when(k == 2, F.concat(iso, F.lit("+02:00"))).otherwise("soon")
-    return v.events.select("event_id", when.to_local(raw, AS_OF).alias("local_ts"))
+    return v.events.select("event_id", when.to_local(raw, as_of()).alias("local_ts"))
 
 
 @query("f6_clean_float", f"""SELECT event_id, {r("CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END")} AS cleaned,
@@ -159,7 +159,7 @@ def f16(v):
 
 @query("f17_age_minutes", f"SELECT event_id, round(greatest(0, (epoch_us({SQL_AS_OF}) - epoch_us(ts)) / 60000000.0::DOUBLE), 1) AS age_minutes FROM events")
 def f17(v):
-    return v.events.select("event_id", when.age_minutes("ts", AS_OF).alias("age_minutes"))
+    return v.events.select("event_id", when.age_minutes("ts", as_of()).alias("age_minutes"))
 
 
 @query("f18_ratios", f"""SELECT hour_ts, device_id, {r('missing_ratio')} AS missing_ratio,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF, SQL_AS_OF
+from hourlake.catalog.views import as_of, SQL_AS_OF
 from hourlake.catalog.windows import _LATEST, sync_status
 from hourlake.sources import payloads, readings, weather
 
@@ -16,7 +16,7 @@ def s1(v):
         "device_id": F.lit(None).cast("bigint"), "province_id": F.lit(None).cast("string"),
         "location_id": F.when(F.col("id") % 4 == 0, "own place")})
     dev = v.iot_devices.withColumns({"location": F.concat(F.lit("loc_"), "c_nationkey"), "province": F.concat(F.lit("prov_"), "c_nationkey")})
-    return readings.read_readings(rd, dev, 14, AS_OF)
+    return readings.read_readings(rd, dev, 14, as_of())
 
 
 @query("s2_source_mapping", "SELECT 'sensor_' || user_id AS device_id, event_type AS location_id, props AS province_id, ts AS event_ts, value AS temperature, CAST(event_id AS DOUBLE) AS humidity FROM events")
@@ -97,7 +97,7 @@ _RH = "greatest(0, least(100, 100 * exp(17.625::DOUBLE * 5 / (243.04::DOUBLE + 5
   CASE event_id % 4 WHEN 2 THEN NULL WHEN 0 THEN round((epoch_us({SQL_AS_OF}) // 1000 - epoch_us(ts) // 1000) / 60000.0::DOUBLE, 1)
     ELSE round((epoch_us({SQL_AS_OF}) // 1000000 - epoch_us(ts) // 1000000) / 60.0::DOUBLE, 1) END AS lag_minutes FROM events""")
 def s7(v):
-    out = payloads.parse_station_json(station_messages(v), AS_OF)
+    out = payloads.parse_station_json(station_messages(v), as_of())
     return rounded(out.select("id", "temperature", "humidity", "event_ts", "station_name", "mac", "lag_minutes"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
 from hourlake.catalog.sources import raw_messages
-from hourlake.catalog.views import AS_OF, SQL_AS_OF, Views
+from hourlake.catalog.views import as_of, SQL_AS_OF, Views
 from hourlake.functions import when
 from hourlake.operators import alerts, history, quality, rollup, spacing, state, tables
 from hourlake.session import shared_dir
@@ -194,7 +194,7 @@ def x9(v):
   CASE WHEN l.metric_value IS NULL OR d.min_threshold IS NULL THEN 'none' WHEN l.metric_value < d.min_threshold OR l.metric_value > d.max_threshold THEN 'out_of_range' ELSE 'normal' END AS alert_status
   FROM iot_devices d LEFT JOIN ({_LAST}) l ON l.sensor_id = d.source AND l.metric_type = d.device_type""")
 def x11(v):
-    return rounded(history.device_view(v.iot_devices, v.metrics, AS_OF), 3)
+    return rounded(history.device_view(v.iot_devices, v.metrics, as_of()), 3)
 
 
 @query("x13_hourly_rollup_stream", f"""SELECT device_id, hour_ts, {r('temperature_avg')} AS temperature_avg, {r('humidity_avg')} AS humidity_avg, record_count FROM hourly
@@ -217,7 +217,7 @@ def x1(v):
     no = lambda *names: {n: F.lit(None).cast("string") for n in names}
     dev = v.iot_devices.withColumns({**no("source_type", "environment_type", "location", "location_province"),
                                      "latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
-    q = flows.ingest(raw_messages(StreamViews(v.spark, v.dir)), dev, v.generic_devices, out, f"{out}/progress", AS_OF)
+    q = flows.ingest(raw_messages(StreamViews(v.spark, v.dir)), dev, v.generic_devices, out, f"{out}/progress", as_of())
     q.awaitTermination()
     rd = v.spark.read.parquet(f"{out}/readings").select(
         F.lit("readings").alias("kind"), "id", "sensor_id", F.lit(None).cast("string").alias("metric_type"), F.col("temperature").alias("metric_value"))
@@ -228,7 +228,7 @@ def x1(v):
 @query("k13_bronze_sink", "SELECT event_id, device_id, event_ts, TIMESTAMP '2024-01-31 00:00:00' AS ingested_at FROM bronze_raw")
 def k13(v):
     out = scratch(v, "bronze")
-    run_batches(v, StreamViews(v.spark, v.dir).bronze_raw, flows.bronze_sink(f"{out}/t", AS_OF), out)
+    run_batches(v, StreamViews(v.spark, v.dir).bronze_raw, flows.bronze_sink(f"{out}/t", as_of()), out)
     return v.spark.read.parquet(f"{out}/t").select("event_id", "device_id", "event_ts", "ingested_at")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF, SQL_AS_OF
+from hourlake.catalog.views import as_of, SQL_AS_OF
 from hourlake.operators import history, rollup, tables
 
 SILVER = T.StructType([
@@ -70,7 +70,7 @@ def k9(v):
 
 @query("k10_retain", f"SELECT id, event_ts FROM metrics WHERE event_ts >= {SQL_AS_OF} - INTERVAL 15 DAY")
 def k10(v):
-    return tables.retain(v.metrics, "event_ts", 15, AS_OF).select("id", "event_ts")
+    return tables.retain(v.metrics, "event_ts", 15, as_of()).select("id", "event_ts")
 
 
 @query("k11_to_long", """SELECT hour_ts, device_id, 'temperature' AS metric_type, temperature_max AS metric_value, 'C' AS unit FROM hourly WHERE temperature_max IS NOT NULL
@@ -85,13 +85,13 @@ def k11(v):
   coalesce(CAST(temperature AS VARCHAR), '') AS temperature, coalesce(CAST(humidity AS VARCHAR), '') AS humidity
   FROM readings rd LEFT JOIN iot_devices d ON d.source = rd.sensor_id WHERE rd.event_ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 23:59:59.999999'""")
 def k12(v):
-    rows = history.between(v.readings, history.resolve_window("2024-01-10", "2024-01-12", 60, AS_OF))
+    rows = history.between(v.readings, history.resolve_window("2024-01-10", "2024-01-12", 60, as_of()))
     return history.export_frame(rows, v.iot_devices)
 
 
 @query("k14_resolve_alerts", f"""SELECT id, CASE WHEN status = 'warning' THEN {SQL_AS_OF} ELSE resolved_at END AS resolved_at FROM alert_table""")
 def k14(v):
-    return tables.resolve_alerts(v.alert_table, v.alert_table.where("status = 'warning'"), AS_OF).select("id", "resolved_at")
+    return tables.resolve_alerts(v.alert_table, v.alert_table.where("status = 'warning'"), as_of()).select("id", "resolved_at")
 
 
 @query("m13_replace_forecast", f"""SELECT device_id, metric_type, horizon_step, {r("CASE WHEN metric_type = 'humidity' THEN forecast_value + 1 ELSE forecast_value END")} AS forecast_value

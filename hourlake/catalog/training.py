@@ -4,15 +4,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import AS_OF
-from hourlake.operators import evaluation, features
+from hourlake.catalog.stateful import scratch
+from hourlake.catalog.views import as_of
+from hourlake.operators import evaluation, features, tables
 from hourlake.plans import training
 
 MIN_ROWS = 100
 
 
 def frame(v):
-    return training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True))
+    """The training table, stored once: fitting reads it many times."""
+    df = training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True))
+    lake = tables.Lake(v.spark, scratch(v, "training"))
+    lake.write("features", df)
+    return lake.table("features")
 
 
 @query("m1_preprocess")
@@ -26,7 +31,7 @@ def m1(v):
 
 @query("m2_model_specs")
 def m2(v):
-    metrics, _ = training.train_global(frame(v), AS_OF, {"temperature": "temp_target_1"}, "full", trees=5)
+    metrics, _ = training.train_global(frame(v), as_of(), {"temperature": "temp_target_1"}, "full", trees=5)
     return rounded(metrics.select("model_name", "target_variable", "mae", "rmse", "r2", "quality_label", "is_best"))
 
 
@@ -45,21 +50,21 @@ def m3a(v):
 
 @query("m4_train_global")
 def m4(v):
-    metrics, _ = training.train_global(frame(v), AS_OF, profile="quick", trees=10)
+    metrics, _ = training.train_global(frame(v), as_of(), profile="quick", trees=10)
     return rounded(metrics.select("model_name", "target_variable", "training_mode", "mae", "rmse", "r2", "training_points", "test_points", "is_best"))
 
 
 @query("m5_final_refit")
 def m5(v):
     df = frame(v)
-    _, models = training.train_global(df, AS_OF, {"humidity": "humidity_target_1"}, "quick", final_refit=True, trees=5)
+    _, models = training.train_global(df, as_of(), {"humidity": "humidity_target_1"}, "quick", final_refit=True, trees=5)
     out = models["humidity", "Spark Linear Regression"].transform(df.dropna(subset=training.NUMERIC))
     return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"))
 
 
 @query("m6_train_per_location")
 def m6(v):
-    metrics, _ = training.train_per_location(frame(v), AS_OF, min_rows=MIN_ROWS)
+    metrics, _ = training.train_per_location(frame(v), as_of(), min_rows=MIN_ROWS)
     return rounded(metrics.select("location_id", "target_variable", "mae", "rmse", "r2", "test_points", "is_best"))
 
 
@@ -73,8 +78,7 @@ _XY = "(SELECT location_id, device_id, hour_ts, temperature, temp_target_1 AS y
   WHERE n >= 100 AND i <= greatest(1, CAST(floor(n * 0.8) AS BIGINT)) GROUP BY 1""")
 def m6l(v):
     """The same solver with one input and no penalty is the least-squares line of each place."""
-    df = training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True))
-    rows = training.location_split(df, "temp_target_1", ["temperature"], MIN_ROWS, training.LOCATION_MAX_ROWS)
+    rows = training.location_split(frame(v), "temp_target_1", ["temperature"], MIN_ROWS, training.LOCATION_MAX_ROWS)
     w = training.location_coefficients(rows.where("NOT is_test"), "temp_target_1", ["temperature"], l2=0.0)
     return rounded(w.select("location_id", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope")), 4)
 
@@ -90,7 +94,7 @@ def linear(v, df, target="temperature"):
 @query("m10_recursive_forecast")
 def m10(v):
     df = frame(v)
-    return rounded(training.recursive_forecast(linear(v, df), v.series, "temperature", 24, AS_OF))
+    return rounded(training.recursive_forecast(linear(v, df), v.series, "temperature", 24, as_of()))
 
 
 @query("m11_direct_forecast")

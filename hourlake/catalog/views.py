@@ -16,7 +16,13 @@ from hourlake.operators.ranking import oldest
 from hourlake.functions.models import default_ids
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
-AS_OF: Column = F.lit(AS_OF_TEXT).cast("timestamp")
+
+
+def as_of() -> Column:
+    """The moment all queries take as now."""
+    return F.lit(AS_OF_TEXT).cast("timestamp")
+
+
 SQL_AS_OF = f"TIMESTAMP '{AS_OF_TEXT}'"
 REFERENCE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "station_id", "temperature_c", "relative_humidity"]
 BIAS_DAYS = 30
@@ -232,11 +238,11 @@ class Views:
 
     @cached_property
     def forecast_rows(self) -> DataFrame:
-        f = forecast.fallback_all(self.series, self.entities, self.joined, HORIZON, AS_OF, BIAS_DAYS)
+        f = forecast.fallback_all(self.series, self.entities, self.joined, HORIZON, as_of(), BIAS_DAYS)
         return f.withColumns({
             "model_name": F.lit("fallback"),
             "model_type": F.lit("baseline"),
-            "generated_at": AS_OF,
+            "generated_at": as_of(),
         })
 
     @cached_property

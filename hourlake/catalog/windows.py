@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hourlake.catalog.joins import steady
 from hourlake.catalog.registry import query, r, rounded, shown
-from hourlake.catalog.views import AS_OF, HORIZON, SQL_AS_OF
+from hourlake.catalog.views import as_of, HORIZON, SQL_AS_OF
 from hourlake.operators import evaluation, features, forecast, history, matching, ranking, tables
 from hourlake.sources import weather
 
@@ -218,7 +218,7 @@ def t1(v):
 @query("t2_recent_alerts", f"""SELECT id, source, created_at FROM alert_table WHERE created_at >= {SQL_AS_OF} - INTERVAL 240 HOUR
   ORDER BY created_at DESC, id DESC LIMIT 100""")
 def t2(v):
-    return history.recent_alerts(v.alert_table, 240, 100, AS_OF).select("id", "source", "created_at")
+    return history.recent_alerts(v.alert_table, 240, 100, as_of()).select("id", "source", "created_at")
 
 
 _STATUS = """sync_status AS (SELECT 'loc_' || o_custkey % 50 AS location_id, CAST(2022 + o_orderkey % 3 AS INT) AS year,
@@ -272,7 +272,7 @@ def t7(v):
 def u1(v):
     from hourlake.catalog.views import BIAS_DAYS
 
-    b = forecast.recent_bias(v.joined, BIAS_DAYS, AS_OF)
+    b = forecast.recent_bias(v.joined, BIAS_DAYS, as_of())
     parts = [b.where(F.col("metric_type") == m) for m in ("temperature", "humidity")]
     return tables.union_rows(parts).groupBy("metric_type").agg(F.count(F.lit(1)).alias("n"))
 

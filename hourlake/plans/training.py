@@ -105,26 +105,32 @@ def train_global(df: DataFrame, created_at: Column, targets: dict[str, str] = TA
         usable = df.dropna(subset=[*NUMERIC, label])
         train, test = evaluation.split_by_time(usable, "hour_ts", ratio, exact=False)
         train, test = train.persist(), test.persist()
-        n_train, n_test = train.count(), test.count()
-        for name, estimator in model_specs(label, profile, trees, bins).items():
-            pipeline = Pipeline(stages=[*preprocess_stages(), estimator])
-            try:
-                fitted = pipeline.fit(train)
-                kept = pipeline.fit(usable) if final_refit else fitted
-            except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
-                print(f"skipping {name} for {target}: {e}")
-                continue
-            models[target, name] = kept
-            scored = evaluation.regression_metrics(fitted.transform(test), label, "prediction")
-            rows.append(scored.select(
-                F.lit(name).alias("model_name"), F.lit("spark_mllib").alias("model_type"), F.lit("global").alias("training_mode"),
-                F.lit(None).cast("string").alias("location_id"), F.lit(target).alias("target_variable"),
-                "mae", "rmse", "rse", "mape", "r2", F.lit(n_train).alias("training_points"), F.lit(n_test).alias("test_points"),
-                F.lit(f"{target}/{name}").alias("model_uri"),
-            ))
+        try:
+            n_train = train.count()
+            for name, estimator in model_specs(label, profile, trees, bins).items():
+                pipeline = Pipeline(stages=[*preprocess_stages(), estimator])
+                try:
+                    fitted = pipeline.fit(train)
+                    # one row per model comes back
+                    m = evaluation.regression_metrics(fitted.transform(test), label, "prediction").first()
+                    models[target, name] = pipeline.fit(usable) if final_refit else fitted
+                except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
+                    print(f"skipping {name} for {target}: {str(e)[:300]}")
+                    continue
+                rows.append((name, "spark_mllib", "global", None, target, m["mae"], m["rmse"], m["rse"], m["mape"], m["r2"],
+                             n_train, m["n"], f"{target}/{name}"))
+        finally:
+            train.unpersist()
+            test.unpersist()
         if not any(t == target for t, _ in models):
             raise ValueError(f"no model could be trained for {target}")
-    return finish_metrics(union_rows(rows), created_at), models
+    return finish_metrics(df.sparkSession.createDataFrame(rows, METRIC_ROWS), created_at), models
+
+
+METRIC_ROWS = (
+    "model_name string, model_type string, training_mode string, location_id string, target_variable string, mae double, "
+    "rmse double, rse double, mape double, r2 double, training_points bigint, test_points bigint, model_uri string"
+)
 
 
 def finish_metrics(rows: DataFrame, created_at: Column) -> DataFrame:
