@@ -39,18 +39,17 @@ def recent_bias(joined: DataFrame, days: int, as_of: Column) -> DataFrame:
 
 
 def tails(history: DataFrame, keys: list[str], n: int = SEASON, ts: str = "hour_ts", metrics=METRICS) -> DataFrame:
-    """(keys, metric_type, total, values): the newest n non-NULL values, oldest first.
+    """(keys, metric_type, values): the newest n non-NULL values, oldest first.
 
     At most n values per group are ever kept; the rank is pruned before the shuffle.
     """
     long = history.select(*keys, ts, *metrics).unpivot([*keys, ts], list(metrics), "metric_type", "_v")
     long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     by = [*keys, "metric_type"]
-    total = long.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     tail = keep_first(long, by, [F.col(ts).desc(), F.col("_v").desc()], n).groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(ts, "_v"))).alias("_t")
     )
-    return total.join(tail, by).select(*by, "total", F.transform("_t", lambda x: x["_v"]).alias("values"))
+    return tail.select(*by, F.transform("_t", lambda x: x["_v"]).alias("values"))
 
 
 def _line(values: Column) -> tuple[Column, Column]:
@@ -62,8 +61,8 @@ def _line(values: Column) -> tuple[Column, Column]:
     sx = n * (n - 1.0) / 2.0
     sxx = (n - 1.0) * n * (2.0 * n - 1.0) / 6.0
     sy, sxy = fold(lambda y, i: y), fold(lambda y, i: y * i)
-    slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
-    return slope, (sy - slope * sx) / n
+    slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)  # NULL for a single value
+    return slope, F.try_divide(sy - slope * sx, n)
 
 
 def fallback_forecast(history: DataFrame, keys: list[str], horizon: int, metrics=METRICS) -> DataFrame:
@@ -82,7 +81,7 @@ def fallback_forecast(history: DataFrame, keys: list[str], horizon: int, metrics
     steps = t.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))))
     seasonal = F.element_at("values", (F.pmod(F.col("horizon_step") - 1, F.lit(SEASON)) + 1).cast("int"))
     trend = F.col("_b") + F.col("_k") * (F.col("_n") + F.col("horizon_step") - 1)
-    short, long = F.col("total") < MINIMUM, F.col("total") >= SEASON
+    short, long = F.size("values") < MINIMUM, F.size("values") >= SEASON
     return steps.select(
         *keys, "metric_type", "horizon_step",
         F.when(short, last).when(long, seasonal).otherwise(trend).alias("base_forecast_value"),
@@ -151,22 +150,22 @@ def forecast_coverage(fc: DataFrame, keys: list[str]) -> DataFrame:
 def fallback_all(history: DataFrame, entities: DataFrame, joined: DataFrame, horizon: int, as_of: Column, days: int):
     """Calibrated fallback forecast rows of every entity that has a history.
 
-    A device without own history uses its place's series.
+    A device without own history uses its place's series. Own and place series
+    come from one pass over the history: every row counts for both.
     """
-    own = fallback_forecast(history, ["location_id", "device_id"], horizon)
-    place = fallback_forecast(history.drop("device_id"), ["location_id"], horizon)
-    grid = forecast_grid(entities, horizon, as_of)
-    k = ["metric_type", "horizon_step"]
-    own = own.select(F.col("location_id").alias("_l1"), F.col("device_id").alias("_d1"), *[F.col(c).alias(f"_1{c}") for c in k],
-                     F.struct("base_forecast_value", "model_status").alias("_own"))
-    place = place.select(F.col("location_id").alias("_l2"), *[F.col(c).alias(f"_2{c}") for c in k],
-                         F.struct("base_forecast_value", "model_status").alias("_place"))
-    j = grid.join(own, (F.col("location_id") == F.col("_l1")) & (F.col("device_id") == F.col("_d1"))
-                  & (F.col("metric_type") == F.col("_1metric_type")) & (F.col("horizon_step") == F.col("_1horizon_step")), "left")
-    j = j.join(place, (F.col("location_id") == F.col("_l2")) & (F.col("metric_type") == F.col("_2metric_type"))
-               & (F.col("horizon_step") == F.col("_2horizon_step")), "left")
-    f = F.coalesce("_own", "_place")
-    base = j.where(f.isNotNull()).select(
-        *grid.columns, f["base_forecast_value"].alias("base_forecast_value"), f["model_status"].alias("model_status")
+    own, place = F.col("device_id"), F.lit(None).cast("string")
+    scoped = history.withColumn("scope", F.explode(F.array(own, place)))
+    f = fallback_forecast(scoped, ["location_id", "scope"], horizon)
+    # bring each entity to the one series it uses before fanning out to steps
+    known = scoped.where(F.col("scope").isNotNull()).select(F.col("location_id").alias("_l"), F.col("scope").alias("_s")).distinct()
+    used = entities.join(known, (F.col("location_id") == F.col("_l")) & (F.col("device_id") == F.col("_s")), "left").drop("_l")
+    grid = forecast_grid(used, horizon, as_of)
+    on = ["location_id", "metric_type", "horizon_step"]
+    g, b = grid.alias("g"), f.alias("b")
+    match = F.col("g._s").eqNullSafe(F.col("b.scope"))
+    for c in on:
+        match = (F.col(f"g.{c}") == F.col(f"b.{c}")) & match
+    base = g.join(b, match).select(
+        *[F.col(f"g.{c}") for c in grid.columns if c != "_s"], "b.base_forecast_value", "b.model_status"
     )
     return calibrate(base, recent_bias(joined, days, as_of))

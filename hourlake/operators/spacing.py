@@ -78,37 +78,78 @@ def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, seco
     span = int(chunk_seconds * 1e6)
     work = df.withColumns({"_kind": kind.cast("int"), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
     work = work.where(F.col("_kind").isNotNull() & F.col("_us").isNotNull())
+    work = work.dropna(subset=keys)
     work = work.withColumn("_chunk", F.floor(F.col("_us") / F.lit(float(span))))
     types, out_cols = dict(work.dtypes), df.columns
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-
-    def summarise(key, pdf):
-        pdf = pdf.sort_values(["_us", tie])
-        p, e, fixed = _summary(pdf["_us"].to_numpy(), pdf["_kind"].to_numpy(), int(key[-1]) * span, gap)
-        return pd.DataFrame([[*key, p.tolist(), e.tolist(), fixed]], columns=[*keys, "_chunk", "p", "e", "after"])
-
-    def chain(key, pdf):
-        state, out = NONE, []
-        for _, r in pdf.sort_values("_chunk").iterrows():
-            out.append([*key, r["_chunk"], state])
-            p = np.asarray(r["p"], dtype=np.int64)
-            i = 0 if state == NONE else int(np.searchsorted(p, state + gap, "left"))
-            if i < len(p):
-                state = int(r["e"][i])
-            elif not pd.isna(r["after"]):
-                state = int(r["after"])
-        return pd.DataFrame(out, columns=[*keys, "_chunk", "_state"])
-
-    def replay(key, pdf):
-        pdf = pdf.sort_values(["_us", tie]).reset_index(drop=True)
-        fired, _ = _replay(pdf["_us"].to_numpy(), pdf["_kind"].to_numpy(), int(pdf["_state"].iloc[0]), gap)
-        return pdf.iloc[fired][out_cols]
-
-    parts = work.select(*keys, "_chunk", "_us", tie, "_kind").groupBy(*keys, "_chunk").applyInPandas(
+    group = [*keys, "_chunk"]
+
+    def together(d: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        return d.repartition(*by).sortWithinPartitions(*by, *order)
+
+    def summarise(batches):
+        for pdf, cuts in _groups(batches, group):
+            t, kind, chunk = pdf["_us"].to_numpy(), pdf["_kind"].to_numpy(), pdf["_chunk"].to_numpy()
+            rows = [_summary(t[a:b], kind[a:b], int(chunk[a]) * span, gap) for a, b in cuts]
+            out = pdf.iloc[[a for a, _ in cuts]][group]
+            yield out.assign(
+                p=[r[0].tolist() for r in rows],
+                e=[r[1].tolist() for r in rows],
+                after=pd.array([r[2] for r in rows], dtype="Int64"),
+            )
+
+    def chain(batches):
+        for pdf, cuts in _groups(batches, keys):
+            states = np.empty(len(pdf), dtype=np.int64)
+            points, exits, after = pdf["p"].to_numpy(), pdf["e"].to_numpy(), pdf["after"].to_numpy()
+            for a, b in cuts:
+                state = NONE
+                for i in range(a, b):
+                    states[i] = state
+                    j = 0 if state == NONE else int(np.searchsorted(points[i], state + gap, "left"))
+                    if j < len(points[i]):
+                        state = int(exits[i][j])
+                    elif not pd.isna(after[i]):
+                        state = int(after[i])
+            yield pdf[group].assign(_state=states)
+
+    def replay(batches):
+        for pdf, cuts in _groups(batches, group):
+            t, kind, state = pdf["_us"].to_numpy(), pdf["_kind"].to_numpy(), pdf["_state"].to_numpy()
+            fired = [a + i for a, b in cuts for i in _replay(t[a:b], kind[a:b], int(state[a]), gap)[0]]
+            if fired:
+                yield pdf.iloc[fired][out_cols]
+
+    small = work.select(*group, "_us", tie, "_kind")
+    parts = together(small, group, ["_us", tie]).mapInPandas(
         summarise, f"{key_ddl}, _chunk bigint, p array<bigint>, e array<bigint>, after bigint"
     )
-    states = parts.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, _chunk bigint, _state bigint")
-    return work.join(states, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, df.schema)
+    states = together(parts, keys, ["_chunk"]).mapInPandas(chain, f"{key_ddl}, _chunk bigint, _state bigint")
+    return together(work.join(states, group), group, ["_us", tie]).mapInPandas(replay, df.schema)
+
+
+def _groups(batches, by: list[str]):
+    """Sorted batches -> (frame, [(start, end), ...]) holding whole groups only.
+
+    A group cut by a batch border waits for its rest.
+    """
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        new = np.zeros(len(pdf), dtype=bool)
+        new[0] = True
+        for c in by:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        last = int(starts[-1])
+        rest = pdf.iloc[last:].reset_index(drop=True)
+        if last:
+            yield pdf.iloc[:last], list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+    if rest is not None and len(rest):
+        yield rest, [(0, len(rest))]
 
 
 def apply_cooldown(events: DataFrame, keys: list[str], ts: str, tie: str, status: str = "status",
