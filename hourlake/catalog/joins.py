@@ -91,7 +91,7 @@ def j5(v):
   SELECT device_id, metric_type, horizon_step, {r('forecast_value')} AS forecast_value, generated_at FROM b
   WHERE generated_at = (SELECT max(generated_at) FROM b c WHERE c.metric_type = b.metric_type)""")
 def j6(v):
-    f = v.forecast_rows.withColumn(
+    f = v.forecast_table.withColumn(
         "generated_at", F.timestamp_seconds(F.unix_seconds("generated_at") - (F.col("horizon_step") % 2) * 3600))
     out = latest_batch(f, ["metric_type"], "generated_at")
     return rounded(out.select("device_id", "metric_type", "horizon_step", "forecast_value", "generated_at"))
@@ -113,11 +113,11 @@ def steady(df):
       JOIN dim_location l ON l.n_nationkey = d.c_nationkey JOIN board b ON b.training_mode = 'per_location' AND b.location_id = l.location_id
     UNION ALL
     SELECT d.source, 1, b.* FROM iot_devices d, board b WHERE b.training_mode = 'global')
-  SELECT sensor_id, origin, target_variable, model_name, training_mode, location_id, {r('rmse')} AS rmse, best AS is_best FROM (
+  SELECT sensor_id, origin, target_variable, model_name, training_mode, location_id, {r('round(rmse, 9)')} AS rmse, best AS is_best FROM (
     SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY origin, target_variable, best DESC, round(rmse, 9), round(mae, 9),
       round(r2, 9) DESC, model_name, model_uri) AS rn FROM both_parts) WHERE rn <= 8""")
 def j7(v):
-    board = evaluation.leaderboard(steady(v.model_metrics)).drop("rank_order")
+    board = evaluation.leaderboard(steady(v.model_table)).drop("rank_order")
     l = v.dim_location.select("location_id", "province_id", "n_nationkey")
     e = v.iot_devices.join(l, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("source").alias("sensor_id"), "location_id", "province_id")

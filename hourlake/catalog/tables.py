@@ -97,6 +97,6 @@ def k14(v):
 @query("m13_replace_forecast", f"""SELECT device_id, metric_type, horizon_step, {r("CASE WHEN metric_type = 'humidity' THEN forecast_value + 1 ELSE forecast_value END")} AS forecast_value
   FROM forecast_rows""")
 def m13(v):
-    f = v.forecast_rows.select("device_id", "metric_type", "horizon_step", "forecast_value")
+    f = v.forecast_table.select("device_id", "metric_type", "horizon_step", "forecast_value")
     new = f.where("metric_type = 'humidity'").withColumn("forecast_value", F.col("forecast_value") + 1.0)
     return rounded(tables.replace_where(f, new, ["metric_type", "device_id"]))

@@ -5,13 +5,15 @@ line items for reference weather, customers for devices, suppliers for stations
 and nations for places.
 """
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourlake.functions import when
-from hourlake.operators import alerts, evaluation, features, forecast, matching, quality, rollup
+from hourlake.operators import alerts, evaluation, features, forecast, matching, quality, rollup, tables
+from hourlake.session import shared_dir
 from hourlake.operators.ranking import oldest
 from hourlake.functions.models import default_ids
 
@@ -51,6 +53,12 @@ class Views:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """Layer table: written once to the shared folder, so that several readers do not recompute it."""
+        lake = tables.Lake(self.spark, f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        lake.write(name, df)
+        return lake.table(name)
+
     @cached_property
     def events(self) -> DataFrame:
         return self.read("events").withColumn("ts", when.as_ts("ts"))
@@ -236,15 +244,25 @@ class Views:
     def entities(self) -> DataFrame:
         return matching.forecast_entities(self.dim_device, self.dim_location)
 
+    @cached_property
+    def model_table(self) -> DataFrame:
+        return self.stored("model_metrics", self.model_metrics)
+
     @cached_property
     def forecast_rows(self) -> DataFrame:
-        f = forecast.fallback_all(self.series, self.entities, self.joined, HORIZON, as_of(), BIAS_DAYS)
+        joined = self.stored("weather_joined", self.joined)
+        history = default_ids(features.one_per_hour(features.prefer(joined)))
+        f = forecast.fallback_all(history, self.entities, joined, HORIZON, as_of(), BIAS_DAYS)
         return f.withColumns({
             "model_name": F.lit("fallback"),
             "model_type": F.lit("baseline"),
             "generated_at": as_of(),
         })
 
+    @cached_property
+    def forecast_table(self) -> DataFrame:
+        return self.stored("forecast_result", self.forecast_rows)
+
     @cached_property
     def threshold_alerts(self) -> DataFrame:
         return alerts.threshold_alerts(self.metrics, self.iot_devices)
@@ -277,7 +295,7 @@ class Views:
     @cached_property
     def wide_forecast(self) -> DataFrame:
         """Forecasts of the gateways, per source (device) and time."""
-        return forecast.forecast_wide(self.forecast_rows, ["device_id", "location_id"])
+        return forecast.forecast_wide(self.forecast_table, ["device_id", "location_id"])
 
     @cached_property
     def sensor_forecast(self) -> DataFrame:

@@ -86,20 +86,20 @@ _BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ta
 _M = "target_variable, training_mode, location_id, model_name"
 
 
-@query("w6_select_best", f"WITH {_BEST} SELECT {_M}, {r('rmse')} AS rmse FROM best")
+@query("w6_select_best", f"WITH {_BEST} SELECT {_M}, {r('round(rmse, 9)')} AS rmse FROM best")
 def w6(v):
     return rounded(evaluation.select_best(steady(v.model_metrics), ["baseline"]).select(*_M.split(", "), "rmse"))
 
 
 @query("m7_flag_best", f"WITH {_BEST} SELECT {_M}, model_uri, model_uri IN (SELECT model_uri FROM best) AS is_best FROM model_metrics")
 def m7(v):
-    return evaluation.flag_best(steady(v.model_metrics), ["baseline"]).select(*_M.split(", "), "model_uri", "is_best")
+    return evaluation.flag_best(steady(v.model_table), ["baseline"]).select(*_M.split(", "), "model_uri", "is_best")
 
 
 _BOARD = f"board AS (SELECT *, row_number() OVER (PARTITION BY target_variable ORDER BY {_ORDER}) AS rank_order FROM model_metrics)"
 
 
-@query("w7_leaderboard", f"WITH {_BOARD} SELECT {_M}, rank_order, coalesce(is_best, rank_order = 1) AS is_best, {r('mae')} AS mae FROM board")
+@query("w7_leaderboard", f"WITH {_BOARD} SELECT {_M}, rank_order, coalesce(is_best, rank_order = 1) AS is_best, {r('round(mae, 9)')} AS mae FROM board")
 def w7(v):
     return rounded(evaluation.leaderboard(steady(v.model_metrics)).select(*_M.split(", "), "rank_order", "is_best", "mae"))
 
@@ -156,13 +156,13 @@ def _choice(strategy):
 
 @query("w13_choose_model_global", _choice("global_best_type"))
 def w13(v):
-    out = evaluation.choose_model(v.entities, steady(v.model_metrics), "global_best_type", ("baseline",))
+    out = evaluation.choose_model(v.entities, steady(v.model_table), "global_best_type", ("baseline",))
     return out.select("device_id", "location_id", "metric_type", "model_name", "training_mode")
 
 
 @query("w13_choose_model_location", _choice("per_location_first"))
 def w13l(v):
-    out = evaluation.choose_model(v.entities, steady(v.model_metrics), "per_location_first", ("baseline",))
+    out = evaluation.choose_model(v.entities, steady(v.model_table), "per_location_first", ("baseline",))
     return out.select("device_id", "location_id", "metric_type", "model_name", "training_mode")
 
 
@@ -209,7 +209,7 @@ def w17(v):
     return rounded(forecast.forecast_snapshot(v.wide_forecast, ["device_id"]).select("device_id", "forecast_ts", "temperature"))
 
 
-@query("t1_sort_leaderboard", f"""WITH {_BOARD} SELECT {_M}, {r('rmse')} AS rmse FROM board ORDER BY target_variable,
+@query("t1_sort_leaderboard", f"""WITH {_BOARD} SELECT {_M}, {r('round(rmse, 9)')} AS rmse FROM board ORDER BY target_variable,
   coalesce(is_best, rank_order = 1) DESC, {_ORDER}, location_id NULLS FIRST LIMIT 20""")
 def t1(v):
     return rounded(evaluation.sort_leaderboard(evaluation.leaderboard(steady(v.model_metrics)), 20).select(*_M.split(", "), "rmse"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourlake.operators.tables import union_rows
+
 ADMIN = "admin"
 
 
@@ -25,20 +27,17 @@ def accessible_sources(users, devices, generic, metrics, public: str = "system_m
     generic devices they created and devices they own."""
     row = lambda df, v, s: df.select(v.alias("viewer"), s.alias("source"))
     admin, src = F.lit(ADMIN), F.col("source")
-    parts = [
+    regular = users.where(~F.col("is_admin")).select("user_id")
+    created = generic.withColumnRenamed("created_by", "user_id").join(regular, "user_id", "left_semi")
+    owned = devices.join(regular, "user_id", "left_semi")
+    return union_rows([
         row(devices.where("is_active"), admin, src),
         row(generic.where("is_active"), admin, src),
         row(metrics.where(F.col("sensor_id") != "").select("sensor_id").distinct(), admin, F.col("sensor_id")),
-        row(users.where(~F.col("is_admin")), viewer(F.col("user_id")), F.lit(public)),
-        row(generic, viewer(F.col("created_by")), src),
-        row(devices, viewer(F.col("user_id")), src),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    regular = users.where(~F.col("is_admin")).select(viewer(F.col("user_id")).alias("viewer"))
-    regular = regular.unionByName(users.where("is_admin").select(F.lit(ADMIN).alias("viewer")).distinct())
-    return out.distinct().join(regular, "viewer", "left_semi")
+        row(regular, viewer(F.col("user_id")), F.lit(public)),
+        row(created, viewer(F.col("user_id")), src),
+        row(owned, viewer(F.col("user_id")), src),
+    ]).distinct()
 
 
 def permitted_devices(permissions: DataFrame, generic: DataFrame) -> DataFrame:
