@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     FMRegressor,
@@ -104,16 +104,22 @@ def train_global(df: DataFrame, created_at: Column, targets: dict[str, str] = TA
     for target, label in targets.items():
         usable = df.dropna(subset=[*NUMERIC, label])
         train, test = evaluation.split_by_time(usable, "hour_ts", ratio, exact=False)
-        train, test = train.persist(), test.persist()
+        # the preparation is the same for every model: fit it once, keep only what models read
+        prepared = Pipeline(stages=preprocess_stages()).fit(train)
+        inputs = lambda d: prepared.transform(d).select("features", label)
+        train, test = inputs(train).persist(), inputs(test).persist()
+        whole = Pipeline(stages=preprocess_stages()).fit(usable) if final_refit else None
         try:
             n_train = train.count()
             for name, estimator in model_specs(label, profile, trees, bins).items():
-                pipeline = Pipeline(stages=[*preprocess_stages(), estimator])
                 try:
-                    fitted = pipeline.fit(train)
+                    fitted = estimator.fit(train)
                     # one row per model comes back
                     m = evaluation.regression_metrics(fitted.transform(test), label, "prediction").first()
-                    models[target, name] = pipeline.fit(usable) if final_refit else fitted
+                    if final_refit:
+                        models[target, name] = chained(whole, estimator.fit(whole.transform(usable).select("features", label)))
+                    else:
+                        models[target, name] = chained(prepared, fitted)
                 except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
                     print(f"skipping {name} for {target}: {str(e)[:300]}")
                     continue
@@ -127,6 +133,10 @@ def train_global(df: DataFrame, created_at: Column, targets: dict[str, str] = TA
     return finish_metrics(df.sparkSession.createDataFrame(rows, METRIC_ROWS), created_at), models
 
 
+def chained(prepared: PipelineModel, model) -> PipelineModel:
+    return PipelineModel(stages=[*prepared.stages, model])
+
+
 METRIC_ROWS = (
     "model_name string, model_type string, training_mode string, location_id string, target_variable string, mae double, "
     "rmse double, rse double, mape double, r2 double, training_points bigint, test_points bigint, model_uri string"
@@ -266,7 +276,7 @@ def _step_features(step: int, start: Column) -> dict[str, Column]:
 
 
 def recursive_forecast(model: PipelineModel, history: DataFrame, target: str, horizon: int, as_of: Column,
-                       every: int = 6) -> DataFrame:
+                       every: int = 4) -> DataFrame:
     """One-step model rolled forward for all series together.
 
     Each series is one row holding its last 168 values, so a step is one
@@ -285,6 +295,10 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, target: str, ho
         F.max_by(f"meteostat_{m}", F.when(F.col(f"meteostat_{m}").isNotNull(), F.col("hour_ts"))).alias(f"_last_{m}") for m in SHORT])
     state = side(target).join(side(other), keys).join(path(target, "_own"), keys).join(path(other, "_ahead"), keys).join(ref, keys)
     enough = (F.size(f"_{target}") >= forecast.MINIMUM) & (F.size(f"_{other}") >= forecast.MINIMUM)
+    # ids never change along the way, so they are indexed once
+    fixed = [m for m in model.stages if isinstance(m, StringIndexerModel)]
+    model = PipelineModel(stages=[m for m in model.stages if m not in fixed])
+    state = PipelineModel(stages=fixed).transform(state)
     state = cut_lineage(state.withColumns({"_enough": enough, "_preds": F.array().cast("array<double>")}))
     kept = state.columns
     start = F.timestamp_seconds(F.unix_seconds(F.date_trunc("hour", as_of)) + 3600)

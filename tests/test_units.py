@@ -248,3 +248,35 @@ def test_minute_last_keeps_last_non_null(spark):
               "sensor_id string, event_ts timestamp, id int, temperature double, humidity double")
     r = rollup.minute_last(df, ["sensor_id"]).first()
     assert (r.temperature, r.humidity) == (6.0, 7.0)
+
+
+def test_recursive_forecast_matches_a_step_by_step_loop(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from hourlake.plans import training
+
+    n, H = 60, 3
+    data = [("l", "d", "p", at(3600 * i), 20 + math.sin(i / 3) * 4, 50 + math.cos(i / 5) * 9, 19.0 + (i % 5), None) for i in range(n)]
+    hist = rows(spark, data, "location_id string, device_id string, province_id string, hour_ts timestamp, temperature double, "
+                             "humidity double, meteostat_temperature double, meteostat_humidity double")
+    numeric = ["temperature", "humidity", "meteostat_temperature", "meteostat_humidity", "hour", "temp_lag_6", "temp_rolling_24", "humidity_lag_1"]
+    base = features.add_targets(features.add_rolling(features.add_lags(hist, ["temperature", "humidity"]), ["temperature"]), ["temperature"], (1,))
+    base = base.select("*", *when.calendar("hour_ts")).dropna(subset=["temp_target_1", "temp_lag_6"]).fillna(50.0, ["meteostat_humidity"])
+    base = base.withColumn("hour", F.col("hour").cast("double"))
+    model = Pipeline(stages=[*training.preprocess_stages(numeric), LinearRegression(featuresCol="features", labelCol="temp_target_1", regParam=0.1)]).fit(base)
+    as_of = at(3600 * n)
+    got = [r.base_forecast_value for r in training.recursive_forecast(model, hist, "temperature", H, F.lit(as_of)).orderBy("horizon_step").collect()]
+
+    temp, hum = [r[4] for r in data], [r[5] for r in data]
+    ahead = [r.base_forecast_value for r in forecast.fallback_forecast(hist, ["location_id"], H).where("metric_type = 'humidity'").orderBy("horizon_step").collect()]
+    want = []
+    for step in range(H):
+        row = {"location_id": "l", "device_id": "d", "province_id": "p", "temperature": temp[-1], "humidity": hum[-1],
+               "meteostat_temperature": data[-1][6], "meteostat_humidity": hum[-1], "hour": float((as_of.hour + 1 + step) % 24),
+               "temp_lag_6": temp[-6], "temp_rolling_24": sum(temp[-24:]) / 24, "humidity_lag_1": hum[-1]}
+        p = model.transform(spark.createDataFrame([row])).first().prediction
+        want.append(p)
+        temp.append(p)
+        hum.append(ahead[step])
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-8
