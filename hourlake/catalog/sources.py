@@ -163,6 +163,6 @@ def s12(v):
     payload = (F.when(k == 0, F.concat(F.lit('{"wifi":{"connected":true,"ssid":"net","rssi":-'), F.col("event_id") % 90,
                                        F.lit('},"state":{"fan":true},"networks":[{"ssid":"a"},{"ssid":"b"}]}')))
                .when(k == 1, '{"state":{"auto":false}}').when(k == 2, "[1,2]").when(k == 3, "broken{").otherwise('{"wifi":{}}'))
-    topic = F.concat(F.lit("ptdl/devices/dev_"), u, F.when(k == 4, "/wifi-list").otherwise("/state"))
+    topic = F.concat(F.lit("site/devices/dev_"), u, F.when(k == 4, "/wifi-list").otherwise("/state"))
     m = v.events.select(F.col("event_id").alias("id"), payload.alias("payload"), topic.alias("topic"))
-    return payloads.parse_device_state(m).select("id", "sensor_id", "connected", "ssid", "rssi", "fan", "fog", "auto", "network_count")
+    return payloads.parse_device_state(m, "site").select("id", "sensor_id", "connected", "ssid", "rssi", "fan", "fog", "auto", "network_count")

@@ -122,7 +122,7 @@ STATE = (
 )
 
 
-def parse_device_state(df: DataFrame, payload: str = "payload", topic: str = "topic", prefix: str = "ptdl") -> DataFrame:
+def parse_device_state(df: DataFrame, prefix: str, payload: str = "payload", topic: str = "topic") -> DataFrame:
     """Device state messages; non-objects and other topics are dropped."""
     s = F.from_json(F.trim(F.col(payload)), STATE)
     whole = F.trim(F.col(payload)).startswith("{") & F.get_json_object(F.trim(F.col(payload)), "$").isNotNull()
