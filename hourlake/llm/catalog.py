@@ -4,9 +4,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourlake.llm import bpe
-from hourlake.llm.common import table
+from hourlake.llm import bpe, chosen_path, compression, exact_dedup, language, mixing
+from hourlake.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,54 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op4_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept row of every group of equal texts, for every document."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_heavy_hitter_dedup"] = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+#: The mixture of op5: three quarters of all tokens, no source read more than three times.
+MIX = (3, 4, 3)
+
+
+@query
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken, with its leaf's tokens and budget."""
+    num, den, epochs = MIX
+    return mixing.mixed(table(spark, sf_dir, "documents"), F.expr(f"total * {num} div {den}"), epochs)
+
+
+ORACLES["op5_hierarchical_mixing"] = mixing.sql(*MIX)
+
+
+@query
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the compression bands, for every document."""
+    return compression.judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of decoded bytes, for every document."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class, its size, copies and number of links, for every document."""
+    return chosen_path.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_copies", "n_links", "kept")
+
+
+@query
+def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score, for every document; learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
+    predicted = language.predict(docs, model)
+    return predicted.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
