@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourlake.llm import bpe, chosen_path, compression, exact_dedup, language, mixing
+from hourlake.llm import bpe, chosen_path, compression, exact_dedup, language, mixing, toxicity, warc
 from hourlake.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,28 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
     predicted = language.predict(docs, model)
     return predicted.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written, found through the capture index, and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+ORACLES["op3_warc_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM g
+"""
+
+
+@query
+def op2_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learned from the labels of three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.held_out(F.col("doc_id"))
+    machine = toxicity.fit(docs.where(~out), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
