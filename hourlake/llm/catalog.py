@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourlake.llm import bpe, chosen_path, compression, exact_dedup, language, mixing, toxicity, warc
+from hourlake.llm import bpe, chosen_path, compression, exact_dedup, language, line_templates, mixing, pii, toxicity, warc
 from hourlake.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs across documents, for every document."""
+    return line_templates.decisions(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept row of every group of equal texts, for every document."""
@@ -94,3 +100,9 @@ def op2_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs.where(~out), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, machine)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base digest and all spans of personal data, for every document."""
+    return pii.find(table(spark, sf_dir, "documents"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourlake.llm.common import back_to_rows, folder, stored, whole_rows
+from hourlake.llm.common import back_to_rows, bounds, folder, sorted_groups, stored, whole_rows
 from hourlake.llm.components import components
 
 WORDS, SIMILARITY, HASHES, SMALL, DEPTH, BLOCK, RECALL, SEED = 5, 0.8, 64, 64, 3, 1024, 0.999, 11
@@ -170,38 +170,6 @@ def in_block_pairs(rows: DataFrame, group: str, size: str, key: str, block: int)
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
-def sorted_groups(batches, keys: list[str]):
-    """Tables of whole groups, from batches sorted by the keys; many small groups come together."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tail = [batch.column(k)[batch.num_rows - 1] for k in keys]
-        same = np.ones(batch.num_rows, bool)
-        for k, v in zip(keys, tail, strict=True):
-            same &= batch.column(k).to_numpy() == v.as_py()
-        start = batch.num_rows - int(same.sum())  # the last group may go on in the next batch
-        if start:
-            yield pa.Table.from_batches([*kept, batch.slice(0, start)])
-            kept = []
-        elif kept and any(kept[-1].column(k)[0] != v for k, v in zip(keys, tail, strict=True)):
-            yield pa.Table.from_batches(kept)
-            kept = []
-        kept.append(batch.slice(start))
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
-def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Where groups begin, and the end."""
-    change = np.zeros(table.num_rows, bool)
-    change[0] = True
-    for k in keys:
-        v = table.column(k).to_numpy()
-        change[1:] |= v[1:] != v[:-1]
-    return np.append(np.flatnonzero(change), table.num_rows)
-
-
 def spanning(n: int, alike, halves: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect what `alike(i, js)` joins; pairs already connected are not compared again."""
     label, edges = np.arange(n), []

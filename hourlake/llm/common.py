@@ -2,6 +2,8 @@
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,35 @@ def back_to_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n; an id that is null counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Tables of whole groups, from batches sorted by the keys; many small groups come together."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tail = [batch.column(k)[batch.num_rows - 1] for k in keys]
+        same = np.ones(batch.num_rows, bool)
+        for k, v in zip(keys, tail, strict=True):
+            same &= batch.column(k).to_numpy() == v.as_py()
+        start = batch.num_rows - int(same.sum())  # the last group may go on in the next batch
+        if start:
+            yield pa.Table.from_batches([*kept, batch.slice(0, start)])
+            kept = []
+        elif kept and any(kept[-1].column(k)[0] != v for k, v in zip(keys, tail, strict=True)):
+            yield pa.Table.from_batches(kept)
+            kept = []
+        kept.append(batch.slice(start))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups begin, and the end."""
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for k in keys:
+        v = table.column(k).to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(change), table.num_rows)
