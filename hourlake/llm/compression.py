@@ -93,8 +93,8 @@ def in_bands(data: bytes, tool: zstandard.ZstdCompressor) -> tuple[bool, float,
     return within(WHOLE, len(data), whole) and bad <= BAD_CHUNKS * len(chunks), whole, len(chunks), bad
 
 
-FIELDS = {n: "bigint" for n in COUNTS} | {"base_failed": "boolean", "kept": "boolean", "share": "double", "n_chunks": "bigint", "bad_chunks": "bigint"}
-ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+FIELDS = {n: "long" for n in COUNTS} | {"base_failed": "boolean", "kept": "boolean", "share": "double", "n_chunks": "long", "bad_chunks": "long"}
+ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def _judged(batches, carried: list[str]):
@@ -116,7 +116,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the compressed shares of every row."""
     fields = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda batches: _judged(batches, ["doc_id"]), f"doc_id bigint, {fields}")
+    return rows.mapInArrow(lambda batches: _judged(batches, ["doc_id"]), f"doc_id long, {fields}")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
