@@ -175,6 +175,7 @@ def disguised(word: str) -> str:
 
 def train(positive: list[str], negative: list[str]) -> Machine:
     """Landmarks from both sides, Nyström features, the machine, and its folded weights."""
+    positive, negative = ([s for s in x if ORDER <= len(s) <= LONGEST] for x in (positive, negative))
     half = LANDMARKS // 2
     landmarks = sorted({*positive[:half], *negative[: LANDMARKS - half]})
     positive = positive + [disguised(s) for s in positive if ORDER + 1 < len(s) < LONGEST]
