@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hourlake.llm.common import back_to_rows, bounds, folder, sorted_groups, stored, whole_rows
 
-LEADING, WORDS, SIMILAR, TEXTS, LEAF, DEEPEN, MEMO = 3, 4, 0.75, 10, 4096, 4, 500_000
+LEADING, WORDS, SIMILAR, TEXTS, LEAF, DEEPEN, MEMO = 3, 4, 0.75, 10, 20_000, 4, 500_000
 FIELD = "<*>"
 DIGIT, VARIABLE = re.compile("[0-9]"), re.compile(r"\S*[0-9]\S*")
 
