@@ -178,7 +178,7 @@ def x8s(v):
     out = scratch(v, "latest")
     s = StreamViews(v.spark, v.dir)
     run_batches(v, s.metrics, flows.latest_state_sink(f"{out}/t", ["sensor_id", "metric_type"], "event_ts", ["id"]), out)
-    return v.spark.read.parquet(f"{out}/t/version=0").select("sensor_id", "metric_type", "id", "event_ts", "metric_value")
+    return flows.newest_version(v.spark, f"{out}/t").select("sensor_id", "metric_type", "id", "event_ts", "metric_value")
 
 
 @query("x9_auto_register", """SELECT p.source, p.device_type, d.user_id, d.id AS template_id, d.name,

@@ -78,7 +78,7 @@ _XY = "(SELECT location_id, device_id, hour_ts, temperature, temp_target_1 AS y
   WHERE n >= 100 AND i <= greatest(1, CAST(floor(n * 0.8) AS BIGINT)) GROUP BY 1""")
 def m6l(v):
     """The same solver with one input and no penalty is the least-squares line of each place."""
-    rows = training.location_split(frame(v), "temp_target_1", ["temperature"], MIN_ROWS, training.LOCATION_MAX_ROWS)
+    rows = training.location_split(frame(v), "temp_target_1", ["temperature"], MIN_ROWS)
     w = training.location_coefficients(rows.where("NOT is_test"), "temp_target_1", ["temperature"], l2=0.0)
     return rounded(w.select("location_id", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope")), 4)
 

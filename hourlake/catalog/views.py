@@ -552,7 +552,7 @@ CTES: dict[str, str] = {
   SELECT d.source, f.forecast_ts, f.temperature, f.humidity, f.generated_at
   FROM iot_devices d JOIN wide_forecast f ON f.device_id = 'gw_' || d.c_nationkey""",
     "nearby_stations": """
-  SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY distance_km, station_id) AS nearness FROM (
+  SELECT * FROM (
     SELECT l.location_id, s.station_id, s.start_year, s.end_year,
       round(2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(s.latitude - l.latitude) / 2), 2)
         + cos(radians(l.latitude)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - l.longitude) / 2), 2)))), 6) AS distance_km
@@ -562,6 +562,5 @@ CTES: dict[str, str] = {
     max(CAST(temperature_c IS NOT NULL AS INT)) + max(CAST(relative_humidity IS NOT NULL AS INT)) AS metric_count
   FROM reference_raw GROUP BY 1""",
     "ranked_stations": """
-  SELECT n.*, o.row_count, o.metric_count FROM nearby_stations n LEFT JOIN station_obs o ON o.station_id = n.station_id
-  WHERE n.nearness <= 50""",
+  SELECT n.*, o.row_count, o.metric_count FROM nearby_stations n LEFT JOIN station_obs o ON o.station_id = n.station_id""",
 }

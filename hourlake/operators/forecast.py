@@ -69,17 +69,22 @@ def fallback_forecast(history: DataFrame, keys: list[str], horizon: int, metrics
     """(keys, metric_type, horizon_step, base_forecast_value, model_status) by history length.
 
     Under 24 values the last value repeats, from 168 on the last 168 repeat, in
-    between a line through the last 72 is extended. Each series is one row with a
-    bounded array, so any number of series is one narrow stage after the tails.
+    between a line through the last 72 is extended. A series without any value of a
+    metric gets NULLs and `insufficient_data`. Each series is one row with a bounded
+    array, so any number of series is one narrow stage after the tails.
     """
-    t = tails(history, keys, SEASON, metrics=metrics)
-    last = F.element_at("values", -1)
+    every = history.select(*keys).distinct().withColumn("metric_type", F.explode(F.array(*[F.lit(m) for m in metrics])))
+    by = [*keys, "metric_type"]
+    some = tails(history, keys, SEASON, metrics=metrics).select(*[F.col(c).alias(f"_t_{c}") for c in by], "values")
+    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by]
+    t = every.join(some, same, "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
+    last = F.try_element_at("values", F.lit(-1))
     recent = F.slice("values", F.greatest(F.lit(1), F.size("values") - (TREND - 1)), F.lit(TREND))
     t = t.withColumn("_recent", recent)
     slope, intercept = _line(F.col("_recent"))
     t = t.withColumns({"_k": slope, "_b": intercept, "_n": F.size("_recent")})
     steps = t.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))))
-    seasonal = F.element_at("values", (F.pmod(F.col("horizon_step") - 1, F.lit(SEASON)) + 1).cast("int"))
+    seasonal = F.try_element_at("values", (F.pmod(F.col("horizon_step") - 1, F.lit(SEASON)) + 1).cast("int"))
     trend = F.col("_b") + F.col("_k") * (F.col("_n") + F.col("horizon_step") - 1)
     short, long = F.size("values") < MINIMUM, F.size("values") >= SEASON
     return steps.select(

@@ -67,21 +67,24 @@ def _summary(t: np.ndarray, kind: np.ndarray, start: int, gap: int):
 
 
 def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, seconds: float,
-           strict: bool = False, chunk_seconds: int = 86_400) -> DataFrame:
+           strict: bool = False, chunk_seconds: float | None = None) -> DataFrame:
     """Rows that fire. `kind`: 0 clears the state, 1 fires when spaced, 2 always fires, NULL is ignored.
 
-    Spaced means at least `seconds` after the last fired row (more than, when strict).
+    Spaced means at least `seconds` after the last fired row (more than, when strict). NULL is
+    a key value like any other. A row without a time cannot be too close to another: it fires
+    (unless it is one that clears) and changes no state. Chunks last a day, or twice the
+    spacing where that is longer.
     """
-    if chunk_seconds < seconds:
-        raise ValueError("a chunk must not be shorter than the spacing")
+    chunk_seconds = max(86_400, 2 * seconds) if chunk_seconds is None else max(chunk_seconds, seconds)
     gap = int(round(seconds * 1e6)) + (1 if strict else 0)
     span = int(chunk_seconds * 1e6)
     work = df.withColumns({"_kind": kind.cast("int"), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
-    work = work.where(F.col("_kind").isNotNull() & F.col("_us").isNotNull())
-    work = work.dropna(subset=keys)
+    work = work.withColumn("_key", F.to_json(F.struct(*keys))).where(F.col("_kind").isNotNull())
+    untimed = work.where(F.col("_us").isNull() & (F.col("_kind") != RESET)).select(df.columns)
+    work = work.where(F.col("_us").isNotNull())
     work = work.withColumn("_chunk", F.floor(F.col("_us") / F.lit(float(span))))
-    types, out_cols = dict(work.dtypes), df.columns
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    out_cols = df.columns
+    keys, key_ddl = ["_key"], "_key string"
     group = [*keys, "_chunk"]
 
     def together(d: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -125,7 +128,8 @@ def spaced(df: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, seco
         summarise, f"{key_ddl}, _chunk bigint, p array<bigint>, e array<bigint>, after bigint"
     )
     states = together(parts, keys, ["_chunk"]).mapInPandas(chain, f"{key_ddl}, _chunk bigint, _state bigint")
-    return together(work.join(states, group), group, ["_us", tie]).mapInPandas(replay, df.schema)
+    fired = together(work.join(states, group), group, ["_us", tie]).mapInPandas(replay, df.schema)
+    return fired.unionByName(untimed)
 
 
 def _groups(batches, by: list[str]):

@@ -8,7 +8,6 @@ from hourlake.operators.ranking import keep_first
 
 MAX_DISTANCE_KM = 200.0
 RADIUS_KM = 250.0
-MAX_STATIONS = 50
 MIN_COVERAGE = 0.6
 KM_PER_DEGREE = 110.0  # a little under the true 111.2, so cells never come out too small
 
@@ -19,9 +18,8 @@ def _lon_reach(lat: Column, km: float) -> Column:
     return F.least(F.lit(180.0), F.lit(km / KM_PER_DEGREE) / F.cos(F.radians(edge)))
 
 
-def nearby(locations: DataFrame, stations: DataFrame, radius_km: float = RADIUS_KM,
-           max_stations: int = MAX_STATIONS) -> DataFrame:
-    """The nearest stations (at most max_stations, a setting) within the radius of each place.
+def nearby(locations: DataFrame, stations: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
+    """All stations within the radius of each place.
 
     Places are put into every one-degree-band cell their circle touches and meet
     the stations of those cells by an equi-join; equal coordinates are searched once.
@@ -50,11 +48,8 @@ def nearby(locations: DataFrame, stations: DataFrame, radius_km: float = RADIUS_
     pairs = spots.join(s, ["_r", "_c"]).withColumn("distance_km", d).where(F.col("distance_km") <= radius_km)
     # one cell column can be reached both ways round the globe; ranks stay per station
     pairs = pairs.dropDuplicates(["latitude", "longitude", "station_id"])
-    top = keep_first(
-        pairs, ["latitude", "longitude"], [F.col("distance_km").asc(), F.col("station_id").asc()], max_stations
-    )
     keep = ["location_id", *[c for c in stations.columns if c not in ("latitude", "longitude")], "distance_km"]
-    return locations.select("location_id", "latitude", "longitude").join(top, ["latitude", "longitude"]).select(keep)
+    return locations.select("location_id", "latitude", "longitude").join(pairs, ["latitude", "longitude"]).select(keep)
 
 
 def inventory_covers(year: Column) -> Column:
@@ -73,15 +68,24 @@ def reject_reason(year: Column, max_distance: float = MAX_DISTANCE_KM, min_cover
 
 
 def candidates(locations, stations, station_obs, year: int, expected: int, max_distance=MAX_DISTANCE_KM,
-               min_coverage=MIN_COVERAGE, radius_km=RADIUS_KM, max_stations=MAX_STATIONS) -> DataFrame:
-    """Nearby stations with coverage and reason. `station_obs`: station_id, row_count, metric_count."""
-    c = nearby(locations, stations, radius_km, max_stations).join(station_obs, "station_id", "left")
+               min_coverage=MIN_COVERAGE, radius_km=RADIUS_KM, max_accepted: int | None = None) -> DataFrame:
+    """Nearby stations with coverage and reason. `station_obs`: station_id, row_count, metric_count.
+
+    Every station within the radius is checked. `max_accepted`, where a caller sets it, keeps
+    only the nearest accepted ones of a place; rejected ones stay for the report.
+    """
+    c = nearby(locations, stations, radius_km).join(station_obs, "station_id", "left")
     ratio = measure.coverage_ratio(F.col("row_count"), F.lit(expected))
-    return (
+    checked = (
         c.withColumn("row_count", F.coalesce("row_count", F.lit(0)))
         .withColumn("coverage_ratio", ratio)
         .withColumn("reason", reject_reason(F.lit(year), max_distance, min_coverage))
     )
+    if max_accepted is None:
+        return checked
+    accepted = F.col("reason") == "accepted"
+    near = keep_first(checked.where(accepted), ["location_id"], [F.col("distance_km").asc(), F.col("station_id").asc()], max_accepted)
+    return checked.where(~accepted).unionByName(near.select(checked.columns))
 
 
 def select_station(locations, cands: DataFrame, point_obs: DataFrame, expected: int, min_coverage=MIN_COVERAGE):

@@ -12,6 +12,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from hourlake.operators import evaluation, forecast
 from hourlake.operators.features import SERIES, SHORT
 from hourlake.operators.ranking import keep_first
 from hourlake.operators.tables import union_rows
-from hourlake.session import cut_lineage
+from hourlake.session import cut_lineage, exists
 
 # fixed values: model inputs
 VALUES = ["temperature", "humidity", "meteostat_temperature", "meteostat_humidity"]
@@ -32,7 +33,7 @@ ROLLED = [f"{s}_rolling_{n}" for s in ("temp", "humidity") for n in (24, 168)]
 NUMERIC = [*VALUES, *CALENDAR, *CYCLIC, *LAGGED, *ROLLED]
 CATEGORICAL = ["location_id", "province_id", "device_id"]
 TARGETS = {"temperature": "temp_target_1", "humidity": "humidity_target_1"}
-LOCATION_MIN_ROWS, LOCATION_MAX_ROWS = 5000, 50_000
+LOCATION_MIN_ROWS = 5000
 REFIT_MIN_ROWS = 100
 TAIL = 168
 
@@ -98,7 +99,8 @@ def train_global(df: DataFrame, created_at: Column, targets: dict[str, str] = TA
 
     Returns (metrics, models): metrics rows with `is_best` on the winner by
     (rmse, mae, r2) of the run, and the fitted pipelines by (target, name).
-    A model that fails to fit is skipped; none left is an error.
+    A family that cannot take the rows gets a row with status `unsuitable` and the
+    reason; no model left is an error, and so is any other failure.
     """
     models, rows = {}, []
     for target, label in targets.items():
@@ -120,11 +122,11 @@ def train_global(df: DataFrame, created_at: Column, targets: dict[str, str] = TA
                         models[target, name] = chained(whole, estimator.fit(whole.transform(usable).select("features", label)))
                     else:
                         models[target, name] = chained(prepared, fitted)
-                except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
-                    print(f"skipping {name} for {target}: {str(e)[:300]}")
+                except IllegalArgumentException as e:  # this family cannot take these rows; anything else is an error
+                    rows.append((name, "spark_mllib", "global", None, target, *[None] * 5, n_train, None, None, "unsuitable", str(e)[:300]))
                     continue
                 rows.append((name, "spark_mllib", "global", None, target, m["mae"], m["rmse"], m["rse"], m["mape"], m["r2"],
-                             n_train, m["n"], f"{target}/{name}"))
+                             n_train, m["n"], f"{target}/{name}", "trained", None))
         finally:
             train.unpersist()
             test.unpersist()
@@ -139,7 +141,8 @@ def chained(prepared: PipelineModel, model) -> PipelineModel:
 
 METRIC_ROWS = (
     "model_name string, model_type string, training_mode string, location_id string, target_variable string, mae double, "
-    "rmse double, rse double, mape double, r2 double, training_points bigint, test_points bigint, model_uri string"
+    "rmse double, rse double, mape double, r2 double, training_points bigint, test_points bigint, model_uri string, "
+    "status string, reason string"
 )
 
 
@@ -148,21 +151,28 @@ def finish_metrics(rows: DataFrame, created_at: Column) -> DataFrame:
     q = quality_label(F.col("r2"), F.col("rmse"))
     rows = rows.withColumns({"quality_label": q["quality_label"], "confidence_score": q["confidence_score"]})
     best = evaluation.with_rank(rows, ["target_variable"], evaluation.best_order(), "_rank")
-    return best.withColumn("is_best", F.col("_rank") == 1).drop("_rank")
+    return best.withColumn("is_best", (F.col("_rank") == 1) & F.col("rmse").isNotNull()).drop("_rank")
 
 
-def location_split(df: DataFrame, label: str, features: list[str], min_rows: int, max_rows: int, ratio: float = 0.2):
-    """Newest rows per place with enough of them, marked train or test in time order.
+def location_split(df: DataFrame, label: str, features: list[str], min_rows: int, max_rows: int | None = None, ratio: float = 0.2):
+    """Rows of places with enough of them, marked train or test in time order.
 
-    At most `max_rows` hourly rows of a place take part (a training setting), so
-    each place's window is bounded.
+    All rows take part unless the caller sets `max_rows` (then a place's newest). Counts run
+    over a place's days first, so rows are ranked within a day and no task holds a whole place.
     """
-    usable = evaluation.recent_rows(df.dropna(subset=[*features, label]), max_rows)
-    whole = Window.partitionBy("location_id")
-    order = whole.orderBy("hour_ts", "device_id")
-    marked = usable.withColumns({"_n": F.count(F.lit(1)).over(whole), "_i": F.row_number().over(order)})
+    usable = df.dropna(subset=[*features, label])
+    usable = usable if max_rows is None else evaluation.recent_rows(usable, max_rows)
+    usable = usable.withColumn("_day", F.to_date("hour_ts"))
+    days = usable.groupBy("location_id", "_day").agg(F.count(F.lit(1)).alias("_m"))
+    place = Window.partitionBy("location_id")
+    days = days.withColumns({
+        "_n": F.sum("_m").over(place),
+        "_before": F.coalesce(F.sum("_m").over(place.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    }).where(F.col("_n") >= min_rows)
+    order = Window.partitionBy("location_id", "_day").orderBy("hour_ts", "device_id")
+    marked = usable.withColumn("_i", F.row_number().over(order)).join(days, ["location_id", "_day"])
     at = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(1.0 - evaluation.clamp_ratio(ratio))))
-    return marked.where(F.col("_n") >= min_rows).withColumn("is_test", F.col("_i") > at).drop("_i", "_n")
+    return marked.withColumn("is_test", F.col("_before") + F.col("_i") > at).select(*df.columns, "is_test")
 
 
 def location_coefficients(train: DataFrame, label: str, features: list[str], l2: float = 1e-3) -> DataFrame:
@@ -202,7 +212,7 @@ def linear_prediction(features: list[str], coefficients: str = "coefficients") -
 
 
 def train_per_location(df: DataFrame, created_at: Column, targets: dict[str, str] = TARGETS, features=NUMERIC,
-                       min_rows=LOCATION_MIN_ROWS, max_rows=LOCATION_MAX_ROWS, ratio: float = 0.2):
+                       min_rows=LOCATION_MIN_ROWS, max_rows: int | None = None, ratio: float = 0.2):
     """(metrics, coefficients) of a ridge model per place and target. Rows carry is_best until ranked."""
     features = list(features)
     metrics, coefs = [], []
@@ -234,11 +244,8 @@ def refit_local(df: DataFrame, location: str, label: str, model_name: str, bins:
 
 def load_or_refit(path: str | None, df: DataFrame, location: str, label: str, model_name: str, force_refit: bool = False):
     """Stored pipeline, or a local refit when it is missing or `force_refit` is set."""
-    if path and not force_refit:
-        try:
-            return PipelineModel.load(path)
-        except Exception as e:  # noqa: BLE001 - a missing model falls back to a refit
-            print(f"cannot load {path}: {e}")
+    if path and not force_refit and exists(df.sparkSession, path):
+        return PipelineModel.load(path)
     return refit_local(df, location, label, model_name)
 
 

@@ -10,6 +10,7 @@ from hourlake.functions import when
 from hourlake.operators import alerts, matching, quality, rollup, tables
 from hourlake.operators.spacing import NONE, _replay
 from hourlake.operators.ranking import keep_first, newest
+from hourlake.session import exists, remove
 from hourlake.sources.payloads import parse_sensor_json
 
 WIDE_METRICS = {"temperature": "temperature_unit", "humidity": "humidity_unit"}
@@ -147,19 +148,34 @@ def latest_state_stream(stream: DataFrame, keys: list[str], ts: str, ties: list[
 
 
 def latest_state_sink(lake_path: str, keys: list[str], ts: str, ties: list[str]):
-    """foreachBatch writer keeping the newest row per key in a versioned table."""
+    """foreachBatch writer keeping the newest row per key in a versioned table.
+
+    A repeated batch writes its version again from the one before, so the outcome is the same.
+    The version before stays for readers that have begun; older ones are removed.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = keep_first(batch, keys, newest(ts, *ties))
-        if batch_id:
+        if exists(spark, f"{lake_path}/version={batch_id - 1}"):
             old = spark.read.parquet(f"{lake_path}/version={batch_id - 1}")
             new = keep_first(old.unionByName(new), keys, newest(ts, *ties))
+        elif batch_id:
+            raise ValueError(f"version {batch_id - 1} of {lake_path} is gone")
         tables.write_table(new, f"{lake_path}/version={batch_id}")
+        if batch_id > 1:
+            remove(spark, f"{lake_path}/version={batch_id - 2}")
 
     return write
 
 
+def newest_version(spark, lake_path: str) -> DataFrame:
+    """The last version that a sink has written."""
+    every = spark.read.parquet(lake_path)
+    last = every.agg(F.max("version").alias("v"))
+    return every.where(F.col("version") == last.scalar()).drop("version")
+
+
 def alerts_stream(metrics: DataFrame, devices: DataFrame, seconds: float = 60.0) -> DataFrame:
     """Metric stream joined with the static device table, breaches spaced by the cooldown."""
     return cooldown_stream(alerts.evaluate(metrics, devices), ["source", "metric_type"], "event_ts", "id", seconds=seconds)
