@@ -9,10 +9,14 @@ from hourlake.catalog.sources import raw_messages
 from hourlake.catalog.views import as_of, SQL_AS_OF, Views
 from hourlake.functions import when
 from hourlake.operators import alerts, history, quality, rollup, spacing, state, tables
-from hourlake.session import shared_dir
+from hourlake.session import exists, shared_dir
 from hourlake.streaming import flows
 
 
+#: Rate limit of the file streams.
+FILES_PER_BATCH = 1
+
+
 class StreamViews(Views):
     """The same views with the events arriving as a file stream."""
 
@@ -20,7 +24,10 @@ class StreamViews(Views):
         if name != "events":
             return super().read(name)
         schema = super().read(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.dir)
+        source = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+        if exists(self.spark, f"{self.dir}/events.parquet/*.parquet"):
+            return source.parquet(f"{self.dir}/events.parquet")
+        return source.option("pathGlobFilter", "events.parquet").parquet(self.dir)
 
 
 def scratch(v, name):

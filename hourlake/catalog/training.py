@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
 from hourlake.catalog.stateful import scratch
-from hourlake.catalog.views import as_of
+from hourlake.catalog.views import BIAS_DAYS, HORIZON, as_of
+from hourlake.functions.models import default_ids
 from hourlake.operators import evaluation, features, tables
-from hourlake.plans import training
+from hourlake.plans import forecasting, training
 
 MIN_ROWS = 100
 
@@ -141,3 +142,53 @@ def m17(v):
     seqs = training.sequence_split(features.sequence_windows(v.series, "temperature", 24))
     stats = training.sequence_stats(seqs.where("NOT is_test"))
     return stats.select("feature", shown(F.col("mean")).alias("mean"), shown(F.col("variance"), 4).alias("variance"))
+
+
+_LINES = f"""
+  xy AS (SELECT 'temperature' AS m, coalesce(location_id, 'unknown') AS location_id, coalesce(device_id, 'meteostat_only') AS device_id, hour_ts,
+      temperature AS x, temp_target_1 AS y FROM features WHERE temp_target_1 IS NOT NULL AND temperature IS NOT NULL
+    UNION ALL SELECT 'humidity', coalesce(location_id, 'unknown'), coalesce(device_id, 'meteostat_only'), hour_ts, humidity, humidity_target_1
+    FROM features WHERE humidity_target_1 IS NOT NULL AND humidity IS NOT NULL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY hour_ts) AS i, count(*) OVER (PARTITION BY m) AS n,
+      row_number() OVER (PARTITION BY m, location_id ORDER BY hour_ts, device_id) AS li, count(*) OVER (PARTITION BY m, location_id) AS ln FROM xy),
+  cut AS (SELECT m, hour_ts FROM ranked WHERE i = greatest(1, CAST(floor(n * 0.8) AS BIGINT))),
+  coef AS (SELECT r.m, CAST(NULL AS VARCHAR) AS location_id, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM ranked r JOIN cut ON cut.m = r.m WHERE r.hour_ts < cut.hour_ts GROUP BY r.m
+    UNION ALL SELECT m, location_id, regr_intercept(y, x), regr_slope(y, x) FROM ranked WHERE ln >= 100 AND li <= greatest(1, CAST(floor(ln * 0.8) AS BIGINT)) GROUP BY 1, 2)"""
+
+
+def _model_forecast_sql() -> str:
+    return f"""WITH RECURSIVE {_LINES},
+  ways AS (SELECT unnest(['global_best_type', 'per_location_first']) AS strategy),
+  picked AS (SELECT w.strategy, e.device_id, e.location_id, e.province_id, t.metric_type,
+      CASE WHEN w.strategy = 'global_best_type' OR l.a IS NULL THEN g.a ELSE l.a END AS a, CASE WHEN w.strategy = 'global_best_type' OR l.a IS NULL THEN g.b ELSE l.b END AS b,
+      CASE WHEN w.strategy = 'global_best_type' OR l.a IS NULL THEN 'global' ELSE e.location_id END AS scope
+    FROM ways w, entities e, (SELECT unnest(['temperature', 'humidity']) AS metric_type) t
+    LEFT JOIN coef g ON g.m = t.metric_type AND g.location_id IS NULL LEFT JOIN coef l ON l.m = t.metric_type AND l.location_id = e.location_id),
+  begun AS (SELECT p.*, coalesce(o.total, q.total) AS total, coalesce(o.v, q.v) AS v FROM picked p
+    LEFT JOIN own_tail o ON o.location_id = p.location_id AND o.device_id = p.device_id AND o.metric_type = p.metric_type AND o.back = 1
+    LEFT JOIN place_tail q ON q.location_id = p.location_id AND q.metric_type = p.metric_type AND q.back = 1),
+  roll AS (SELECT strategy, device_id, location_id, metric_type, a, b, scope, 1 AS step, a + b * v AS v FROM begun WHERE total >= 24 AND a IS NOT NULL
+    UNION ALL SELECT strategy, device_id, location_id, metric_type, a, b, scope, step + 1, a + b * v FROM roll WHERE step < {HORIZON})
+  SELECT w.strategy, f.device_id, f.location_id, f.metric_type, f.horizon_step, f.forecast_timestamp,
+    {r('coalesce(m.v, f.base_forecast_value)', 4)} AS base_forecast_value, {r('coalesce(m.v, f.base_forecast_value) + f.bias_value', 4)} AS calibrated_forecast_value,
+    CASE WHEN m.v IS NULL THEN 'fallback' ELSE '{forecasting.NAME}' END AS model_name, coalesce(m.scope, 'fallback') AS model_scope,
+    CASE WHEN m.v IS NULL THEN f.model_status ELSE 'trained_{forecasting.TYPE}' END AS model_status,
+    CASE WHEN m.v IS NOT NULL THEN 'runs:/r1/' || f.metric_type || '/' || m.scope END AS model_uri
+  FROM ways w, forecast_rows f LEFT JOIN roll m ON m.strategy = w.strategy AND m.device_id = f.device_id AND m.location_id = f.location_id
+    AND m.metric_type = f.metric_type AND m.step = f.horizon_step"""
+
+
+@query("model_forecast", _model_forecast_sql())
+def model_forecast(v):
+    """Both strategies, with stored models that are loaded by their uri."""
+    joined = v.stored("weather_joined", v.joined)
+    history = v.stored("series", default_ids(features.one_per_hour(features.prefer(joined))))
+    metrics, models = forecasting.linear_models(features.build_features(joined, horizons=(1,)), as_of(), "r1")
+    metrics, models = v.stored("line_metrics", metrics), v.stored("line_models", models)
+    out = [
+        forecasting.model_forecast(history, v.entities, joined, metrics, models, HORIZON, as_of(), BIAS_DAYS, way).withColumn("strategy", F.lit(way))
+        for way in ("global_best_type", "per_location_first")
+    ]
+    return rounded(tables.union_rows(out).select(
+        "strategy", "device_id", "location_id", "metric_type", "horizon_step", "forecast_timestamp", "base_forecast_value",
+        "calibrated_forecast_value", "model_name", "model_scope", "model_status", "model_uri"), 4)

@@ -26,6 +26,21 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed.
+
+    Python stages import it by name. Called once after the session has started; the zip is
+    built on the driver and handed over by Spark.
+    """
+    import importlib.util
+    import os
+    import shutil
+
+    top = os.path.dirname(os.path.abspath(importlib.util.find_spec("hourlake").origin))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="hourlake-zip-"), "hourlake"), "zip", os.path.dirname(top), "hourlake")
+    spark.sparkContext.addPyFile(made)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names, else (local runs) a new one.
 
@@ -43,9 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, in whatever store the path names."""
+    """Whether a file or folder is there, in whatever store the path (which may have wildcards) names."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
 
 
 def remove(spark: SparkSession, path: str) -> None:
