@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hourlake.catalog.joins import steady
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import as_of, BIAS_DAYS, SQL_AS_OF
+from hourlake.catalog.views import INPUTS, as_of, BIAS_DAYS, SQL_AS_OF
 from hourlake.catalog.windows import _BOARD, _STATUS, sync_status
 from hourlake.operators import evaluation, forecast, history, rollup, stations, tables
 from hourlake.plans import jobs
@@ -63,10 +63,10 @@ def a6(v):
     return rounded(evaluation.regression_metrics(p, "label", "prediction", ["location_id", "model_name", "target_variable"]).drop("rse"))
 
 
-@query("a7_location_candidates", """SELECT location_id, min(province_id) AS province_id, count(*) AS row_count FROM features
-  WHERE temp_target_1 IS NOT NULL AND temp_lag_24 IS NOT NULL GROUP BY 1 HAVING count(*) >= 100 ORDER BY 3 DESC, 1 LIMIT 10""")
+@query("a7_location_candidates", f"""SELECT location_id, min(province_id) AS province_id, count(*) AS row_count FROM features
+  WHERE temp_target_1 IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in INPUTS)} GROUP BY 1 HAVING count(*) >= 100""")
 def a7(v):
-    return evaluation.location_candidates(v.features.dropna(subset=["temp_lag_24"]), "temp_target_1", 100, 10)
+    return evaluation.location_candidates(v.features.dropna(subset=INPUTS), "temp_target_1", 100)
 
 
 @query("a8_metric_summary", f"""SELECT {', '.join(f"{r(f'avg(CASE WHEN metric_type = {q}{m}{q} THEN metric_value END)')} AS {m}_avg, "

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.views import as_of, SQL_AS_OF
+from hourlake.catalog.views import INPUTS, as_of, SQL_AS_OF
 from hourlake.functions import measure
 from hourlake.operators import features, history, matching, quality, stations
 from hourlake.plans import jobs
@@ -139,12 +139,10 @@ def p12(v):
     return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p13_usable", """
-  SELECT location_id, device_id, hour_ts FROM features WHERE temp_target_1 IS NOT NULL AND temp_lag_24 IS NOT NULL
-    AND humidity_lag_24 IS NOT NULL AND temp_rolling_24 IS NOT NULL AND meteostat_humidity IS NOT NULL""")
+@query("p13_usable", f"""
+  SELECT location_id, device_id, hour_ts FROM features WHERE temp_target_1 IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in INPUTS)}""")
 def p13(v):
-    cols = ["temp_lag_24", "humidity_lag_24", "temp_rolling_24", "meteostat_humidity"]
-    return quality.usable(v.features, cols, "temp_target_1").select("location_id", "device_id", "hour_ts")
+    return quality.usable(v.features, INPUTS, "temp_target_1").select("location_id", "device_id", "hour_ts")
 
 
 @query("p14_alerts_query", f"""SELECT id, source, metric_type, status FROM alert_table

@@ -107,21 +107,30 @@ def steady(df):
     return df.withColumns({c: F.round(c, 9) for c in ("rmse", "mae", "r2", "rse", "mape")})
 
 
+_ORD = """target_variable, best DESC NULLS LAST, round(rmse, 9) NULLS LAST, round(mae, 9) NULLS LAST, created_at DESC NULLS LAST,
+  model_name, model_type, model_uri, location_id NULLS FIRST"""
+
+
 @query("j7_leaderboard_for", f"""
-  WITH {_BOARD}, both_parts AS (
-    SELECT d.source AS sensor_id, 0 AS origin, b.* FROM iot_devices d
-      JOIN dim_location l ON l.n_nationkey = d.c_nationkey JOIN board b ON b.training_mode = 'per_location' AND b.location_id = l.location_id
-    UNION ALL
-    SELECT d.source, 1, b.* FROM iot_devices d, board b WHERE b.training_mode = 'global')
+  WITH {_BOARD}, lb AS (SELECT b.*, l.province_id AS province FROM board b LEFT JOIN dim_location l ON l.location_id = b.location_id),
+  s AS (SELECT d.source AS sensor_id, d.id, l.location_id AS place, l.province_id AS own_province FROM iot_devices d JOIN dim_location l ON l.n_nationkey = d.c_nationkey),
+  direct AS (SELECT * FROM (SELECT sensor_id, 0 AS origin, lb.*, row_number() OVER (PARTITION BY sensor_id ORDER BY {_ORD}) AS rn
+    FROM s JOIN lb ON lb.location_id = s.place AND lb.target_variable = 'humidity' WHERE s.id % 10 = 0) WHERE rn <= 8),
+  near AS (SELECT * FROM (SELECT sensor_id, 1 AS origin, lb.*, row_number() OVER (PARTITION BY sensor_id ORDER BY {_ORD}) AS rn
+    FROM s JOIN lb ON lb.location_id = s.place OR lb.province = s.own_province WHERE sensor_id NOT IN (SELECT sensor_id FROM direct)) WHERE rn <= 8),
+  worldwide AS (SELECT *, row_number() OVER (ORDER BY {_ORD}) AS rn FROM lb WHERE coalesce(training_mode, 'global') = 'global'),
+  both_parts AS (SELECT * FROM direct UNION ALL SELECT * FROM near
+    UNION ALL SELECT n.sensor_id, 2, g.* FROM (SELECT sensor_id, count(*) AS n FROM near GROUP BY 1) n JOIN worldwide g ON g.rn <= 8 - n.n)
   SELECT sensor_id, origin, target_variable, model_name, training_mode, location_id, {r('round(rmse, 9)')} AS rmse, best AS is_best FROM (
-    SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY origin, target_variable, best DESC, round(rmse, 9), round(mae, 9),
-      round(r2, 9) DESC, model_name, model_uri) AS rn FROM both_parts) WHERE rn <= 8""")
+    SELECT *, row_number() OVER (PARTITION BY sensor_id, target_variable, model_name, training_mode, location_id, created_at ORDER BY origin, rn) AS k FROM both_parts) WHERE k = 1""")
 def j7(v):
+    """Every tenth sensor has evaluation rows of its own (those of its place for humidity)."""
     board = evaluation.leaderboard(steady(v.model_table)).drop("rank_order")
     l = v.dim_location.select("location_id", "province_id", "n_nationkey")
     e = v.iot_devices.join(l, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("source").alias("sensor_id"), "location_id", "province_id")
-    out = evaluation.leaderboard_for(e, board, v.dim_location, 8)
+        "id", F.col("source").alias("sensor_id"), "location_id", "province_id")
+    direct = e.where("id % 10 = 0").select("sensor_id", "location_id").join(board.where("target_variable = 'humidity'"), "location_id")
+    out = evaluation.leaderboard_for(e, board, v.dim_location, 8, direct)
     return rounded(out.select("sensor_id", "origin", "target_variable", "model_name", "training_mode", "location_id", "rmse", "is_best"))
 
 

@@ -1,11 +1,14 @@
 """Table maintenance."""
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourlake.catalog.registry import query, r, rounded
 from hourlake.catalog.views import as_of, SQL_AS_OF
 from hourlake.operators import history, rollup, tables
+from hourlake.session import shared_dir
 
 SILVER = T.StructType([
     T.StructField("device_id", T.StringType()), T.StructField("event_id", T.StringType()), T.StructField("temperature", T.FloatType()),
@@ -57,6 +60,36 @@ def k5(v):
     return tables.flag_matching(d, v.users.where("user_id > 6"), {"user_id": -1}, "is_active").select("id", "is_active")
 
 
+@query("k6_rebuild_on_drift", """SELECT 'drifted' AS kind, province_id, is_active FROM dim_province
+  UNION ALL SELECT 'missing', province_id, is_active FROM dim_province
+  UNION ALL SELECT 'complete', province_id, NULL FROM dim_province WHERE region = 'ASIA'""")
+def k6(v):
+    """Tables without a required column, without anything, and with all columns, each offered the full rows."""
+    lake = tables.Lake(v.spark, f"{shared_dir(v.spark)}/drift-{uuid.uuid4().hex}")
+    full = v.dim_province.select("province_id", "is_active")
+    lake.write("drifted", full.select("province_id"))
+    lake.write("complete", full.join(v.dim_province.where("region = 'ASIA'").select("province_id"), "province_id").withColumn("is_active", F.lit(None).cast("boolean")))
+    out = []
+    for kind in ("drifted", "missing", "complete"):
+        tables.rebuild_on_drift(lake, kind, full, ["province_id", "is_active"])
+        out.append(lake.table(kind).select(F.lit(kind).alias("kind"), "province_id", "is_active"))
+    return tables.union_rows(out)
+
+
+@query("s3_scan_table", "SELECT 'stored' AS kind, province_id, province_name FROM dim_province UNION ALL SELECT 'refused', 'absent', NULL")
+def s3(v):
+    """A stored table by name, a missing one with a schema (no rows), and a missing one without (refused)."""
+    lake = tables.Lake(v.spark, f"{shared_dir(v.spark)}/scan-{uuid.uuid4().hex}")
+    lake.write("provinces", v.dim_province.select("province_id", "province_name"))
+    stored = lake.table("provinces")
+    out = [stored.withColumn("kind", F.lit("stored")), lake.table("absent", stored.schema).withColumn("kind", F.lit("default"))]
+    try:
+        lake.table("absent")
+    except FileNotFoundError:
+        out.append(stored.agg(F.lit("absent").alias("province_id"), F.lit(None).cast("string").alias("province_name"), F.lit("refused").alias("kind")))
+    return tables.union_rows(out).select("kind", "province_id", "province_name")
+
+
 @query("k7_evolve", "SELECT province_id, province_name, CAST(NULL AS DOUBLE) AS altitude, is_active FROM dim_province")
 def k7(v):
     new = T.StructType([T.StructField("altitude", T.DoubleType()), T.StructField("is_active", T.BooleanType())])

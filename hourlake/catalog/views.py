@@ -15,8 +15,11 @@ from hourlake.functions import when
 from hourlake.operators import alerts, evaluation, features, forecast, matching, quality, rollup, tables
 from hourlake.session import shared_dir
 from hourlake.operators.ranking import oldest
+from hourlake.plans.training import CYCLIC, NUMERIC
 from hourlake.functions.models import default_ids
 
+#: Model inputs as the feature table has them; its cyclic ones follow from the calendar.
+INPUTS = [c for c in NUMERIC if c not in CYCLIC]
 AS_OF_TEXT = "2024-01-31 00:00:00"
 
 

@@ -132,8 +132,11 @@ def auto_register(metrics: DataFrame, devices: DataFrame) -> DataFrame:
     ).where("_lo = _hi").select("source")
     known = devices.select("source", "device_type").distinct()
     template = keep_first(devices, ["source"], [F.col("id").asc()])
+    # the template's own unit comes first, where it has one
+    unit = measure.default_unit(F.col("device_type"))
+    unit = F.coalesce(F.nullif(F.trim("unit"), F.lit("")), unit) if "unit" in devices.columns else unit
     fresh = pairs.join(known, ["source", "device_type"], "left_anti").join(owner, "source", "left_semi")
     return fresh.join(template.drop("device_type"), "source").select(
         "source", "device_type", "user_id", F.col("id").alias("template_id"), "name",
-        measure.default_unit(F.col("device_type")).alias("unit"), F.lit(True).alias("is_active"), F.lit(False).alias("alert_enabled"),
+        unit.alias("unit"), F.lit(True).alias("is_active"), F.lit(False).alias("alert_enabled"),
     )

@@ -1,5 +1,7 @@
 """Error metrics, time split, model ranking and choice."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,29 +155,41 @@ def top_models(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def leaderboard_for(entities: DataFrame, board: DataFrame, locations: DataFrame, n: int) -> DataFrame:
-    """Per entity its place's rows, then its province's, then the global rows; first n by 5 keys.
+def leaderboard_for(entities: DataFrame, board: DataFrame, locations: DataFrame, n: int, direct: DataFrame | None = None) -> DataFrame:
+    """Per entity at most n model rows, with their origin (0 direct, 1 local, 2 global).
 
-    Place and province rows are matched by equality; global rows are few (one
-    per model and target) and carried as one array per target table.
+    Evaluation rows of the entity itself (`direct`, with a sensor_id) win outright. Else the
+    rows of its place or its province count, and global rows fill up what is left of n; an
+    entity without local rows gets none. Rows equal in five keys are listed once. Rows are cut
+    to the first n of each place, province and of all global ones before they meet entities.
     """
     e = entities.select("sensor_id", "location_id", "province_id").distinct()
-    b = board.join(locations.select("location_id", "location_name"), "location_id", "left")
-    cols = b.columns
-    row = F.struct(*cols)
-    local = b.where(F.coalesce("training_mode", F.lit("global")) == "per_location")
-    by_place = e.join(local.select(F.col("location_id").alias("_l"), row.alias("m")), e["location_id"] == F.col("_l"))
-    glob = b.where(F.coalesce("training_mode", F.lit("global")) == "global").agg(F.collect_list(row).alias("_g"))
-    everywhere = (
-        e.withColumn("_g", glob.scalar()).select("sensor_id", F.explode("_g").alias("m"))
-    )
-    both = by_place.select("sensor_id", F.lit(0).alias("origin"), "m").unionByName(
-        everywhere.select("sensor_id", F.lit(1).alias("origin"), "m")
-    ).select("sensor_id", "origin", "m.*")
-    keys = ["sensor_id", "target_variable", "model_name", "model_type", "training_mode", "location_id"]
-    once = keep_first(both, keys, [F.col("origin").asc(), *best_order()])
-    return keep_first(once, ["sensor_id"], [F.col("origin").asc(), F.col("target_variable").asc(),
-                      F.col("is_best").desc(), *best_order()], n)
+    places = locations.select("location_id", "location_name", F.col("province_id").alias("_province"))
+    b = board.join(places, "location_id", "left")
+    order = [F.col("target_variable").asc(), F.col("is_best").desc_nulls_last(), F.col("rmse").asc_nulls_last(), F.col("mae").asc_nulls_last(),
+             F.col("created_at").desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in TIE], F.col("location_id").asc_nulls_first()]
+    cols, row = b.columns, F.struct(*b.columns)
+
+    def first_rows(df: DataFrame, key: str) -> DataFrame:
+        return keep_first(df.where(F.col(key).isNotNull()), [key], order, n).select(F.col(key).alias("_k"), row.alias("m"))
+
+    near = e.join(first_rows(b, "location_id"), F.col("location_id") == F.col("_k")).select("sensor_id", "m").unionByName(
+        e.join(first_rows(b, "_province"), F.col("province_id") == F.col("_k")).select("sensor_id", "m")).distinct().select("sensor_id", "m.*")
+    own = None
+    if direct is not None:
+        own = direct.join(places, "location_id", "left").select("sensor_id", *cols)
+        own = keep_first(own, ["sensor_id"], order, n).withColumns({"origin": F.lit(0)})
+        near = near.join(own.select("sensor_id").distinct(), "sensor_id", "left_anti")
+    local = keep_first(near, ["sensor_id"], order, n).withColumn("origin", F.lit(1))
+    # n rows at most, carried as one array
+    best = b.where(F.coalesce("training_mode", F.lit("global")) == "global").orderBy(*order).limit(n).agg(
+        F.collect_list(row).alias("_g"))
+    places_left = local.groupBy("sensor_id").agg((F.lit(n) - F.count(F.lit(1))).alias("_left")).where("_left > 0")
+    fill = places_left.withColumn("_g", best.scalar()).select("sensor_id", F.explode(F.slice("_g", F.lit(1), F.col("_left").cast("int"))).alias("m"))
+    parts = [local, fill.select("sensor_id", "m.*").withColumn("origin", F.lit(2)), *([own] if own is not None else [])]
+    both = reduce(lambda x, y: x.unionByName(y), parts)
+    keys = ["sensor_id", "target_variable", "model_name", "training_mode", "location_id", "created_at"]
+    return keep_first(both, keys, [F.col("origin").asc(), *order]).drop("_province")
 
 
 def choose_model(entities: DataFrame, metrics: DataFrame, strategy: str = "global_best_type",

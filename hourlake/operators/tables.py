@@ -138,6 +138,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def rebuild_on_drift(lake: "Lake", name: str, df: DataFrame, required) -> bool:
+    """Write `df` anew when the stored table is missing or lacks a required column; tells whether it did.
+
+    A table that has all columns is left as it is.
+    """
+    drifted = not lake.exists(name) or not has_columns(lake.table(name), required)
+    if drifted:
+        lake.write(name, df)
+    return drifted
+
+
 class Lake:
     """Parquet tables under one root, by name."""
 
