@@ -16,15 +16,18 @@ STATION_KEYS = {
     "dew_c": ["dewPointC", "dewpointC"],
     "time": ["dateutc", "lastUpdated", "last_updated", "created_at", "timestamp"],
 }
-STATION_NAME_PATHS = ["$.info.name", "$.name", "$.stationName", "$.station_name", "$.location"]
-STATION_MAC_PATHS = ["$.macAddress", "$.mac_address", "$.mac", "$.id"]
-
-MESSAGE = (
-    "source string, sensor_id string, location string, location_province string, timestamp string, "
-    "source_type string, provider string, environment_type string, latitude string, longitude string, "
-    "temperature string, temp string, t string, humidity string, hum string, h string, "
-    "temperature_unit string, humidity_unit string, metric_type string, value string, unit string, saved boolean"
-)
+# after the name inside `info`
+STATION_NAMES = ["name", "stationName", "station_name", "location"]
+STATION_MACS = ["macAddress", "mac_address", "mac", "id"]
+
+
+def with_fields(df: DataFrame, json: Column, name: str) -> DataFrame:
+    """Adds the top-level fields of an object as a map of texts; rows without an object get NULL.
+
+    The text is parsed once: a generator stands between the parse and its many uses, so the
+    optimizer does not copy the parse into each of them.
+    """
+    return df.select("*", F.explode(F.array(F.from_json(json, "map<string,string>"))).alias(name))
 
 
 def _filled(c: Column) -> Column:
@@ -37,18 +40,16 @@ def parse_sensor_json(df: DataFrame, payload: str = "payload", topic: str = "top
 
     `form` is wide (temperature / humidity set) or long (metric_type / metric_value set).
     """
-    m = F.from_json(F.trim(F.col(payload)), MESSAGE, {"mode": "PERMISSIVE"})
-    g = lambda n: F.col(f"_m.{n}")
+    g = lambda n: F.try_element_at("_m", F.lit(n))
     num = lambda c: c.try_cast("double")
     rest = [c for c in df.columns if c not in (payload, topic)]
-    out = df.withColumn("_m", m).where(F.col("_m").isNotNull())
-    present = F.json_object_keys(F.trim(F.col(payload)))
+    out = with_fields(df, F.trim(F.col(payload)), "_m").where(F.col("_m").isNotNull())
 
     def alias(keys: list[str]) -> Column:
         """A shorter name counts only when the longer ones are absent (not merely null)."""
         out = g(keys[-1])
         for k in reversed(keys[:-1]):
-            out = F.when(F.array_contains(present, k), g(k)).otherwise(out)
+            out = F.when(F.map_contains_key("_m", F.lit(k)), g(k)).otherwise(out)
         return num(out)
 
     out = out.withColumns({"temperature": alias(TEMPERATURE_KEYS), "humidity": alias(HUMIDITY_KEYS)})
@@ -75,21 +76,26 @@ def parse_sensor_json(df: DataFrame, payload: str = "payload", topic: str = "top
         F.when(only_long, g("metric_type")).alias("metric_type"),
         F.when(only_long, num(g("value"))).alias("metric_value"),
         F.when(only_long, F.coalesce(g("unit"), F.lit(""))).alias("unit"),
-        F.coalesce(g("saved"), F.lit(True)).alias("saved"),
+        F.coalesce(g("saved").try_cast("boolean"), F.lit(True)).alias("saved"),
     )
 
 
 def parse_station_json(df: DataFrame, as_of: Column, payload: str = "payload") -> DataFrame:
     """Station payloads: first filled alias wins, Fahrenheit before Celsius, humidity from the dew point if absent."""
     doc = F.col(payload)
-    boxes = ["$.lastData", "$.last_data", "$.data"]
-    is_box = lambda p: F.col(p).startswith("{") & (F.col(p) != "{}")
-    df = df.withColumns({f"_b{i}": F.get_json_object(doc, p) for i, p in enumerate(boxes)})
+    outer = lambda k: F.try_element_at("_doc", F.lit(k))
+    is_box = lambda c: c.startswith("{") & (c != "{}")
+    df = with_fields(df, doc, "_doc")
     last = doc
-    for i in reversed(range(len(boxes))):
-        last = F.when(is_box(f"_b{i}"), F.col(f"_b{i}")).otherwise(last)
-    df = df.withColumn("_last", last)
-    pick = lambda name: text.first_present(*[_field(k) for k in STATION_KEYS[name]])
+    for k in reversed(["lastData", "last_data", "data"]):
+        last = F.when(is_box(outer(k)), outer(k)).otherwise(last)
+    df = with_fields(df, last, "_last")
+    field = lambda k: F.try_element_at("_last", F.lit(k))
+    # every choice is made once, for the same reason as the parse
+    names = list(STATION_KEYS)
+    picked = F.struct(*[text.first_present(*[field(k) for k in STATION_KEYS[n]]).alias(n) for n in names])
+    df = df.select("*", F.explode(F.array(picked)).alias("_pick"))
+    pick = lambda name: F.col(f"_pick.{name}")
     celsius = lambda f, c: F.when(pick(f).isNotNull(), measure.f_to_c(pick(f))).otherwise(measure.clean_float(pick(c)))
     df = df.withColumns({
         "temperature": celsius("temp_f", "temp_c"),
@@ -97,7 +103,8 @@ def parse_station_json(df: DataFrame, as_of: Column, payload: str = "payload") -
         "_hum": measure.clean_float(pick("humidity")),
     })
     ts, ms = when.parse_epoch_or_iso(pick("time"))
-    path = lambda paths: F.coalesce(*[F.nullif(F.get_json_object(doc, p), F.lit("")) for p in paths])
+    named = F.coalesce(F.nullif(F.get_json_object(outer("info"), "$.name"), F.lit("")), *[F.nullif(outer(k), F.lit("")) for k in STATION_NAMES])
+    mac = F.coalesce(*[F.nullif(outer(k), F.lit("")) for k in STATION_MACS])
     rest = [c for c in df.columns if not c.startswith("_") and c not in (payload, "temperature")]
     return df.select(
         *rest,
@@ -105,17 +112,12 @@ def parse_station_json(df: DataFrame, as_of: Column, payload: str = "payload") -
         ms.alias("timestamp_ms"),
         "temperature",
         F.coalesce("_hum", measure.rh_from_dewpoint(F.col("temperature"), F.col("_dew"))).alias("humidity"),
-        F.coalesce(path(STATION_NAME_PATHS), F.lit("Unknown")).alias("station_name"),
-        path(STATION_MAC_PATHS).alias("mac"),
+        F.coalesce(named, F.lit("Unknown")).alias("station_name"),
+        mac.alias("mac"),
         when.lag_minutes(ts, as_of).alias("lag_minutes"),
     )
 
 
-def _field(key: str) -> Column:
-    """Exact-case field of the data object."""
-    return F.get_json_object("_last", f"$.{key}")
-
-
 STATE = (
     "timestamp string, wifi struct<connected: boolean, ssid: string, ip: string, rssi: int>, "
     "state struct<fan: boolean, fog: boolean, lamp: boolean, auto: boolean>, networks array<string>"

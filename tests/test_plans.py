@@ -49,3 +49,12 @@ def test_rank_is_limited_before_the_shuffle(v):
 
 def test_rollup_aggregates_before_the_shuffle(v):
     assert "partial_avg" in plan(v.hourly)
+
+
+@pytest.mark.parametrize("name,most", [("s6_parse_sensor_json", 1), ("s7_parse_station_json", 2)])
+def test_messages_are_parsed_once(spark, name, most):
+    import __spark_entry__
+
+    names = [q for q in __spark_entry__.queries() if q.startswith(name[:3])]
+    plan = __spark_entry__.queries()[name if name in names else names[0]](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_json") <= most and plan.count("get_json_object") <= 1
