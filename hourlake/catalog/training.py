@@ -4,7 +4,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hourlake.catalog.registry import query, r, rounded
-from hourlake.catalog.stateful import scratch
 from hourlake.catalog.views import BIAS_DAYS, HORIZON, as_of
 from hourlake.functions.models import default_ids
 from hourlake.operators import evaluation, features, tables
@@ -15,10 +14,7 @@ MIN_ROWS = 100
 
 def frame(v):
     """The training table, stored once: fitting reads it many times."""
-    df = training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True))
-    lake = tables.Lake(v.spark, scratch(v, "training"))
-    lake.write("features", df)
-    return lake.table("features")
+    return v.stored("training_features", training.training_frame(features.build_features(v.joined, horizons=(1, 168), cyclic=True)))
 
 
 @query("m1_preprocess")

@@ -5,7 +5,7 @@ line items for reference weather, customers for devices, suppliers for stations
 and nations for places.
 """
 
-import uuid
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hourlake.functions import when
 from hourlake.operators import alerts, evaluation, features, forecast, matching, quality, rollup, tables
-from hourlake.session import shared_dir
+from hourlake.session import exists, input_version, remove, shared_dir
 from hourlake.operators.ranking import oldest
 from hourlake.plans.training import CYCLIC, NUMERIC
 from hourlake.functions.models import default_ids
@@ -57,10 +57,17 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def stored(self, name: str, df: DataFrame) -> DataFrame:
-        """Layer table: written once to the shared folder, so that several readers do not recompute it."""
-        lake = tables.Lake(self.spark, f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
-        lake.write(name, df)
-        return lake.table(name)
+        """Layer table: written once for each version of the input files, and shared by all readers.
+
+        The folder is named by table and input folder, its versions by a digest of the input
+        files' names, sizes and times. Writing a new version removes the older ones.
+        """
+        place = f"{shared_dir(self.spark)}/layers/{name}-{hashlib.md5(self.dir.encode()).hexdigest()[:12]}"
+        path = f"{place}/{input_version(self.spark, self.dir)}"
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            remove(self.spark, place)
+            tables.write_table(df, path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:

@@ -64,6 +64,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def input_version(spark: SparkSession, folder: str) -> str:
+    """A digest of names, sizes and times of the tables' files in a folder."""
+    import hashlib
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for p in ("*.parquet", "*.parquet/*.parquet") for f in store.globStatus(path(f"{folder}/{p}"))]
+    lines = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found)
+    return hashlib.md5("\n".join(lines).encode()).hexdigest()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder that this library wrote."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
