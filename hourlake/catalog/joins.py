@@ -200,7 +200,7 @@ def j10(v):
 _ACCESS = """acc AS (
     SELECT 'admin' AS viewer, source FROM iot_devices WHERE is_active UNION SELECT 'admin', source FROM generic_devices WHERE is_active
     UNION SELECT 'admin', sensor_id FROM metrics WHERE sensor_id <> ''
-    UNION SELECT 'user:' || user_id, 'system_monitor' FROM users WHERE NOT is_admin
+    UNION SELECT 'public', 'system_monitor'
     UNION SELECT 'user:' || created_by, source FROM generic_devices WHERE created_by IN (SELECT user_id FROM users WHERE NOT is_admin)
     UNION SELECT 'user:' || user_id, source FROM iot_devices WHERE user_id IN (SELECT user_id FROM users WHERE NOT is_admin))"""
 

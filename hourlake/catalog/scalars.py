@@ -89,14 +89,14 @@ def f10(v):
     return v.events.select("event_id", text.first_present(a, b).alias("picked"))
 
 
-@query("f11_strip_accents", "SELECT conv_id, turn, strip_accents(lower(text)) AS folded FROM conversations")
+@query("f11_strip_accents", "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def f11(v):
-    return v.read("conversations").select("conv_id", "turn", text.strip_accents(F.col("text")).alias("folded"))
+    return v.read("documents").select("doc_id", text.strip_accents(F.col("text")).alias("folded"))
 
 
-@query("f11_slug", "SELECT conv_id, turn, regexp_replace(strip_accents(lower(trim(text))), '[^a-z0-9]+', '', 'g') AS slug FROM conversations")
+@query("f11_slug", "SELECT doc_id, regexp_replace(strip_accents(lower(trim(text))), '[^a-z0-9]+', '', 'g') AS slug FROM documents")
 def f11s(v):
-    return v.read("conversations").select("conv_id", "turn", text.slug(F.col("text")).alias("slug"))
+    return v.read("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 _PLACE = "' ' || n_name || CASE n_nationkey % 3 WHEN 0 THEN ' (city), Vietnam' WHEN 1 THEN ', North' ELSE '' END"

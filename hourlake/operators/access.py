@@ -1,11 +1,12 @@
-"""Who may see what. The admin role is one viewer (`admin`); users are `user:<id>`."""
+"""Who may see what. The admin role is one viewer (`admin`), and so are all regular users
+together (`public`, for the source everybody may see); single users are `user:<id>`."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourlake.operators.tables import union_rows
 
-ADMIN = "admin"
+ADMIN, PUBLIC = "admin", "public"
 
 
 def viewer(user: Column) -> Column:
@@ -23,8 +24,8 @@ def device_counts(users: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def accessible_sources(users, devices, generic, metrics, public: str = "system_monitor") -> DataFrame:
-    """(viewer, source): admins see active devices and every seen sensor; users the public source,
-    generic devices they created and devices they own."""
+    """(viewer, source): admins see active devices and every seen sensor; users generic devices
+    they created and devices they own, and, as the viewer `public`, the public source."""
     row = lambda df, v, s: df.select(v.alias("viewer"), s.alias("source"))
     admin, src = F.lit(ADMIN), F.col("source")
     regular = users.where(~F.col("is_admin")).select("user_id")
@@ -34,9 +35,9 @@ def accessible_sources(users, devices, generic, metrics, public: str = "system_m
         row(devices.where("is_active"), admin, src),
         row(generic.where("is_active"), admin, src),
         row(metrics.where(F.col("sensor_id") != "").select("sensor_id").distinct(), admin, F.col("sensor_id")),
-        row(regular, viewer(F.col("user_id")), F.lit(public)),
-        row(created, viewer(F.col("user_id")), src),
-        row(owned, viewer(F.col("user_id")), src),
+        row(users.sparkSession.range(1), F.lit(PUBLIC), F.lit(public)),
+        row(created.where(src != public), viewer(F.col("user_id")), src),
+        row(owned.where(src != public), viewer(F.col("user_id")), src),
     ]).distinct()
 
 
@@ -47,7 +48,10 @@ def permitted_devices(permissions: DataFrame, generic: DataFrame) -> DataFrame:
 
 
 def visible_alerts(alerts: DataFrame, devices: DataFrame, access: DataFrame) -> DataFrame:
-    """(viewer, alert id): owner of the device; without a device, whoever may see the source; admins all."""
+    """(viewer, alert id): owner of the device; without a device, whoever may see the source; admins all.
+
+    An alert of the public source is one row of the viewer `public`, not one of every user.
+    """
     a = alerts.select("id", "device_id", "source")
     own = devices.select(F.col("id").alias("device_id"), viewer(F.col("user_id")).alias("viewer"))
     users = access.where(F.col("viewer") != ADMIN)

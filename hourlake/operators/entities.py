@@ -51,18 +51,16 @@ def place_keys(forecast: DataFrame, locations: DataFrame) -> DataFrame:
 def resolve_entities(sensors: DataFrame, forecast: DataFrame, locations: DataFrame, **kw) -> DataFrame:
     """(sensor_id, device_id, location_id): all series of the first attempt that finds any.
 
-    Sensors sharing a key are joined once per distinct key, so a place text held
-    by a third of the sensors meets the place table as one row.
+    The first rank that finds anything is settled on keys alone; only then do sensors meet
+    the series of their key, so no set of series is ever gathered in one row.
     """
     wanted = sensor_keys(sensors, **kw)
     found = wanted.select("kind", "key").distinct().join(place_keys(forecast, locations), ["kind", "key"])
-    # key -> its series, a set as small as the place table's own rows for that key
-    hits = found.groupBy("kind", "key").agg(F.collect_set(F.struct("device_id", "location_id")).alias("series"))
-    matched = wanted.join(hits, ["kind", "key"])
+    matched = wanted.join(found.select("kind", "key").distinct(), ["kind", "key"])
     best = matched.groupBy("sensor_id").agg(F.min("rank").alias("rank"))
     return (
         matched.join(best, ["sensor_id", "rank"])
-        .select("sensor_id", "rank", F.explode("series").alias("s"))
-        .select("sensor_id", "rank", "s.device_id", "s.location_id")
+        .join(found, ["kind", "key"])
+        .select("sensor_id", "rank", "device_id", "location_id")
         .distinct()
     )
