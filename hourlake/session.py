@@ -21,6 +21,11 @@ def get_session(app: str = "hourlake", master: str | None = None, **conf) -> Spa
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
+    """Sets the session's time zone to UTC, for the whole session: every catalog query calls this.
+
+    Times are kept as UTC instants and shown to DuckDB without a zone; in another zone hours
+    and days would be cut at other instants. Callers who need their own zone use the operators.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hourlake.functions import when
-from hourlake.operators import alerts, matching, quality, rollup, tables
+from hourlake.operators import matching, quality, rollup, tables
 from hourlake.operators.spacing import NONE, _replay
 from hourlake.operators.ranking import keep_first, newest
 from hourlake.session import exists, remove
@@ -141,12 +141,6 @@ def actuator_stream(stream: DataFrame, key: str, ts: str, tie: str) -> DataFrame
     )
 
 
-def latest_state_stream(stream: DataFrame, keys: list[str], ts: str, ties: list[str]) -> DataFrame:
-    """Newest row per key as a running aggregate (use output mode update or complete)."""
-    rest = [c for c in stream.columns if c not in keys]
-    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, *ties)).alias("s")).select(*keys, "s.*")
-
-
 def latest_state_sink(lake_path: str, keys: list[str], ts: str, ties: list[str]):
     """foreachBatch writer keeping the newest row per key in a versioned table.
 
@@ -174,8 +168,3 @@ def newest_version(spark, lake_path: str) -> DataFrame:
     every = spark.read.parquet(lake_path)
     last = every.agg(F.max("version").alias("v"))
     return every.where(F.col("version") == last.scalar()).drop("version")
-
-
-def alerts_stream(metrics: DataFrame, devices: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """Metric stream joined with the static device table, breaches spaced by the cooldown."""
-    return cooldown_stream(alerts.evaluate(metrics, devices), ["source", "metric_type"], "event_ts", "id", seconds=seconds)
