@@ -21,7 +21,7 @@ def frame(v):
 def m1(v):
     from pyspark.ml import Pipeline
 
-    df = frame(v).dropna(subset=training.NUMERIC)
+    df = frame(v)  # with its gaps: medians fill them
     out = Pipeline(stages=training.preprocess_stages()).fit(df).transform(df)
     return out.select("location_id", "device_id", "hour_ts", F.size(vector_to_array("features")).alias("inputs"))
 
@@ -94,30 +94,50 @@ def m10(v):
     return rounded(training.recursive_forecast(linear(v, df), v.series, "temperature", 24, as_of()))
 
 
-@query("m11_direct_forecast")
+_FILLED = "(SELECT * REPLACE (coalesce(location_id, 'unknown') AS location_id, coalesce(device_id, 'meteostat_only') AS device_id) FROM features)"
+_NEWEST = f"(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY location_id, device_id ORDER BY hour_ts DESC) AS rn FROM {_FILLED}) WHERE rn = 1)"
+
+
+@query("m11_direct_forecast", " UNION ALL ".join(f"""SELECT '{m}' AS metric_type, location_id, device_id, hour_ts + to_hours(168) AS forecast_timestamp, 168 AS horizon_step,
+  {r(f'a + b * {m}', 4)} AS prediction FROM {_NEWEST}, (SELECT regr_intercept({s}_target_168, {m}) AS a, regr_slope({s}_target_168, {m}) AS b FROM features)"""
+    for m, s in features.SHORT.items()))
 def m11(v):
+    """The 168 h label's line, one for each metric, applied once to the newest row of every series."""
     from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    df, out = frame(v), []
+    for metric, short in features.SHORT.items():
+        label = f"{short}_target_168"
+        stages = [VectorAssembler(inputCols=[metric], outputCol="features"), LinearRegression(labelCol=label, solver="normal")]
+        model = Pipeline(stages=stages).fit(df.where(F.col(label).isNotNull()))
+        out.append(training.direct_forecast(model, df, 168).withColumn("metric_type", F.lit(metric)))
+    return rounded(tables.union_rows(out), 4)
+
+
+def _place_lines(label: str, value: str) -> str:
+    return f"""SELECT f.location_id, f.device_id, f.hour_ts, {r(f'a + b * {value}', 4)} AS prediction FROM {_FILLED} f
+  JOIN (SELECT location_id, regr_intercept({label}, {value}) AS a, regr_slope({label}, {value}) AS b FROM {_FILLED} WHERE {label} IS NOT NULL
+    GROUP BY 1 HAVING count(*) >= 100) c ON c.location_id = f.location_id"""
 
-    df = frame(v).withColumn("temp_target_24", F.lead("temperature", 24).over(features.series_window()))
-    est = training.model_specs("temp_target_24", "quick")["Spark Linear Regression"]
-    model = Pipeline(stages=[*training.preprocess_stages(), est]).fit(df.dropna(subset=[*training.NUMERIC, "temp_target_24"]))
-    return rounded(training.direct_forecast(model, df, 24))
 
+def _refit(v, label, inputs, df):
+    w = training.refit_places(df, label, inputs)
+    out = df.join(w, "location_id").withColumn("prediction", training.linear_prediction(inputs))
+    return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"), 4)
 
-@query("m14_force_refit")
+
+@query("m14_force_refit", _place_lines("humidity_target_1", "humidity"))
 def m14(v):
-    df = frame(v)
-    model = training.load_or_refit(None, df, "loc34_nation_3", "humidity_target_1", "Spark Decision Tree", force_refit=True)
-    out = model.transform(df.where("location_id = 'loc34_nation_3'"))
-    return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"))
+    """One target's model refitted for every place, whatever is stored."""
+    return _refit(v, "humidity_target_1", ["humidity"], frame(v))
 
 
-@query("m15_refit_local")
+@query("m15_refit_local", _place_lines("temp_target_1", "temperature"))
 def m15(v):
-    df = frame(v).withColumn("meteostat_humidity", F.lit(None).cast("double"))
-    model = training.refit_local(df, "loc34_nation_5", "temp_target_1", "Spark Linear Regression")
-    out = model.transform(df.where("location_id = 'loc34_nation_5'").withColumn("meteostat_humidity", F.lit(0.0)))
-    return rounded(out.select("location_id", "device_id", "hour_ts", "prediction"))
+    """Refit of every place with 100 rows or more; an input without any value counts as 0."""
+    return _refit(v, "temp_target_1", ["temperature", "meteostat_humidity"], frame(v).withColumn("meteostat_humidity", F.lit(0.0)))
 
 
 @query("m17_sequence_stats", f"""

@@ -242,6 +242,25 @@ def refit_local(df: DataFrame, location: str, label: str, model_name: str, bins:
     return Pipeline(stages=[*preprocess_stages(), estimator_for(model_name, label, bins)]).fit(rows)
 
 
+def refit_places(df: DataFrame, label: str, features: list[str], min_rows: int = REFIT_MIN_ROWS, l2: float = 0.0) -> DataFrame:
+    """(location_id, coefficients) of every place with enough labelled rows, in one job.
+
+    Missing inputs count as 0, as an input without any value does in `refit_local`.
+    """
+    rows = default_ids(df).where(F.col(label).isNotNull()).fillna(0.0, features)
+    enough = rows.groupBy("location_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).select("location_id")
+    return location_coefficients(rows.join(enough, "location_id", "left_semi"), label, features, l2)
+
+
+def save_models(models: dict, root: str) -> dict:
+    """Store fitted pipelines below `root`; their uris by (target, name), for `load_or_refit`."""
+    uris = {}
+    for (target, name), model in models.items():
+        uris[target, name] = f"{root.rstrip('/')}/{target}/{name.replace(' ', '_')}"
+        model.write().overwrite().save(uris[target, name])
+    return uris
+
+
 def load_or_refit(path: str | None, df: DataFrame, location: str, label: str, model_name: str, force_refit: bool = False):
     """Stored pipeline, or a local refit when it is missing or `force_refit` is set."""
     if path and not force_refit and exists(df.sparkSession, path):

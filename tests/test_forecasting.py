@@ -49,3 +49,20 @@ def test_rolled_equals_a_loop(spark, metric):
     got = forecasting.rolled(state, {metric: names}, horizon, F.lit(START).cast("timestamp")).collect()
     for r in got:
         assert r.path == pytest.approx(want[r.key])
+
+
+def test_saved_models_are_loaded(spark, tmp_path):
+    """A stored pipeline predicts as before; a missing one is refitted."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(3)
+    names = ["location_id", "province_id", "device_id", "hour_ts", *training.NUMERIC, "temp_target_1"]
+    rows = [("l", "p", "d", START + datetime.timedelta(hours=k), *rng.uniform(0, 9, len(training.NUMERIC) + 1).tolist()) for k in range(130)]
+    df = spark.createDataFrame(rows, names)
+    fitted = Pipeline(stages=[*training.preprocess_stages(), LinearRegression(featuresCol="features", labelCol="temp_target_1", regParam=0.01)]).fit(df)
+    uris = training.save_models({("temperature", "Spark Linear Regression"): fitted}, str(tmp_path))
+    shown = lambda m: [r.prediction for r in m.transform(df).orderBy("hour_ts").select("prediction").collect()]
+    for path in (uris["temperature", "Spark Linear Regression"], str(tmp_path / "none")):
+        again = training.load_or_refit(path, df, "l", "temp_target_1", "Spark Linear Regression")
+        assert shown(again) == pytest.approx(shown(fitted), abs=1e-6 if path.endswith("n") else 0.5)
