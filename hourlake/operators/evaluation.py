@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlake.functions.models import default_ids
-from hourlake.operators.ranking import keep_first, recent_n, with_rank
+from hourlake.operators.ranking import keep_first, recent_n, spread_rank, with_rank
 from hourlake.operators.tables import flag_matching
 
 MIN_ROWS = 100
@@ -135,8 +135,8 @@ def flag_best(metrics: DataFrame, families: list[str]) -> DataFrame:
 
 
 def leaderboard(metrics: DataFrame) -> DataFrame:
-    """Rank per target; a missing flag becomes rank = 1."""
-    r = with_rank(metrics, ["target_variable"], best_order())
+    """Rank per target; a missing flag becomes rank = 1. There are few targets, so ranks are spread."""
+    r = spread_rank(metrics, ["target_variable"], best_order())
     return r.withColumn("is_best", F.coalesce("is_best", F.col("rank_order") == 1))
 
 

@@ -69,3 +69,13 @@ def test_latest_state_over_several_batches(spark, tmp_path):
     got = flows.newest_version(spark, str(tmp_path / "t"))
     assert {r.sensor_id: (r.event_ts, r.id) for r in got.collect()} == want
     assert got.agg(F.count("*")).first()[0] == 5
+
+
+def test_spread_ranks_are_plain_ranks(spark):
+    from hourlake.operators import ranking
+
+    rows = [(("a", "b", None)[k % 7 // 3], (k * 7919) % 500 if k % 11 else None, k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v int, id int")
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    got = ranking.spread_rank(df, ["k"], order).collect()
+    assert sorted(map(str, got)) == sorted(map(str, ranking.with_rank(df, ["k"], order).collect()))
