@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourlake.llm.common import back_to_rows, bounds, folder, sorted_groups, stored, whole_rows
+from hourlake.llm.common import back_to_rows, bounds, drop_folder, folder, sorted_groups, stored, whole_rows
 from hourlake.llm.components import components
 
 WORDS, SIMILARITY, HASHES, SMALL, DEPTH, BLOCK, RECALL, SEED = 5, 0.8, 64, 64, 3, 1024, 0.999, 11
@@ -286,11 +286,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     grouped = every.where("digest IS NOT NULL").groupBy("digest")
     reps = stored(grouped.agg(F.min("place").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), f"{at}/reps")
     edges = candidates(reps, at, runs_for(recall, similarity, depth), similarity, small, depth, block)
-    roots = components(edges, "chosen-path-candidates")
+    roots = components(edges, "chosen-path-candidates")  # written; what led to it is not read again
+    for level in range(1, depth + 1):
+        for step in ("nodes", "live"):
+            drop_folder(spark, f"{at}/{step}{level}")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     members = stored(roots.join(sizes, "root").withColumnRenamed("node", "rep"), f"{at}/members")
     texts = docs.select(F.monotonically_increasing_id().alias("rep"), F.col("text").cast("string"))
-    dealt = in_block_pairs(members, "root", "size", "rep", block).join(texts, "rep")
+    # members grow with the corpus, so texts meet them by a shuffle at every size
+    dealt = texts.join(in_block_pairs(members, "root", "size", "rep", block).hint("merge"), "rep")
     checked = stored(_checked(dealt, similarity), f"{at}/checked")
     links = checked.groupBy("rep").agg(F.sum("links").alias("n_links"), F.min("label").alias("label"), F.max("more").alias("more"))
     if not checked.where("more").isEmpty():
@@ -316,6 +320,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` without all but one (that with the smallest doc_id) of each class."""
-    kept = stored(near_classes(docs, **how).where("kept").select("place"), folder(docs.sparkSession, "chosen-path-kept"))
+    dropped = stored(near_classes(docs, **how).where("NOT kept").select("place"), folder(docs.sparkSession, "chosen-path-dropped"))
     rows = whole_rows(docs, place=F.monotonically_increasing_id())
-    return back_to_rows(rows.join(kept, "place", "left_semi"), docs.columns)
+    return back_to_rows(rows.join(dropped, "place", "left_anti"), docs.columns)
