@@ -109,8 +109,9 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, n: int = LETTERS, seed: i
     """(languages, prototypes) from the text and lang of `docs`; each task bundles its own rows first."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     sizes = known.groupBy("lang").count()
-    # a share of each language, chosen by the text, so that about per_language documents are read closely
-    chosen = known.join(sizes, "lang").where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) * F.col("count") < per_language * 1_000_000)
+    # a share of each language, chosen by the text, so that about per_language documents are read closely;
+    # one small row for each language is broadcast: the model itself holds as many vectors on the driver
+    chosen = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) * F.col("count") < per_language * 1_000_000)
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, sums = space(dimensions, n, seed), {}
