@@ -125,16 +125,20 @@ def leaf_plan(sized: DataFrame, budget: Column, epochs: int, seed: int = SEED, b
     spark = sized.sparkSession
     plan = stored(plan, folder(spark, "mixing-shares"))
     rows = sized.join(plan.select(*LEAF, "full", "docs"), LEAF).withColumn("at", place(F.col("full"), F.col("doc_id"), seed))
-    rows = rows.withColumn("bucket", _bucket(F.col("at"), F.col("docs"), bucket)).select(*LEAF, "n_tokens", "at", "bucket")
-    sums = rows.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("held"), F.max("at").alias("last"))
+    rows = rows.withColumn("bucket", _bucket(F.col("at"), F.col("docs"), bucket))
+    # one key for a leaf's bucket: what follows is shuffled by it, and Spark may split a large leaf in the join above
+    rows = rows.select(F.to_json(F.struct(*LEAF, "bucket")).alias("cell"), *LEAF, "n_tokens", "at", "bucket")
+    named = [F.first(c).alias(c) for c in (*LEAF, "bucket")]
+    sums = rows.groupBy("cell").agg(*named, F.sum("n_tokens").alias("held"), F.max("at").alias("last"))
     run = Window.partitionBy(*LEAF).orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("held").over(run)).join(plan.select(*LEAF, "rest"), LEAF)
     whole = sums.where("upto <= rest").groupBy(*LEAF).agg(F.max("last").alias("until"))
     # the bucket in which the rest runs out: one for each leaf
-    edge = sums.where("upto > rest AND upto - held <= rest").select(*LEAF, "bucket", (F.col("rest") - F.col("upto") + F.col("held")).alias("room"))
-    within = Window.partitionBy(*LEAF).orderBy("at")  # peers together
-    part = rows.join(edge, [*LEAF, "bucket"]).withColumn("used", F.sum("n_tokens").over(within)).where("used <= room")
-    part = part.groupBy(*LEAF).agg(F.max("at").alias("inside"))
+    edge = sums.where("upto > rest AND upto - held <= rest").select("cell", *LEAF, (F.col("rest") - F.col("upto") + F.col("held")).alias("room"))
+    within = Window.partitionBy("cell").orderBy("at")  # peers together
+    part = rows.select("cell", "n_tokens", "at").join(edge.select("cell", "room"), "cell")
+    part = part.withColumn("used", F.sum("n_tokens").over(within)).where("used <= room").groupBy("cell").agg(F.max("at").alias("inside"))
+    part = part.join(edge, "cell").select(*LEAF, "inside")
     until = F.greatest(F.coalesce("inside", F.lit("")), F.coalesce("until", F.lit("")))
     return plan.join(whole, LEAF, "left").join(part, LEAF, "left").select(*plan.columns, until.alias("until"))
 
