@@ -8,8 +8,13 @@ begins a template. Templates found in `TEXTS` distinct texts or more are dropped
 copies of a whole text count as one text.
 
 Each distinct line is clustered once, whatever its number of occurrences, and only where its
-leaf could recur at all. A leaf with more than `LEAF` distinct lines is divided by further
-leading words. Only hashes of words travel.
+leaf could recur at all. A leaf with more than `LEAF` distinct lines is seen once by every
+segment of the words behind the leading ones, of which there is one more than a template has
+fields: wherever the fields are, in one of these views the template's lines stay together. A
+line is dropped if its template recurs in any view. A view that is still as large is dealt out
+into parts by the lines' hashes; the templates of its parts, one row each, are then clustered
+among themselves by the same rule, so a template counts the texts of all parts. All lines of
+a template share its constant words at every step. Only hashes of words travel.
 
 Defined results: null and empty texts have one line without words; lines of fewer than
 `WORDS` words are never dropped. Lines are parted by \\n; repeated rows lose the same lines.
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 
 from hourlake.llm.common import back_to_rows, bounds, folder, sorted_groups, stored, whole_rows
 
-LEADING, WORDS, SIMILAR, TEXTS, LEAF, DEEPEN, MEMO = 3, 4, 0.75, 10, 20_000, 4, 500_000
+LEADING, WORDS, SIMILAR, TEXTS, LEAF, MEMO = 3, 4, 0.75, 10, 20_000, 500_000
+#: Up to so many templates a line is compared with all of them, from there on with those of an equal segment.
+FEW = 64
 FIELD = "<*>"
 DIGIT, VARIABLE = re.compile("[0-9]"), re.compile(r"\S*[0-9]\S*")
 
@@ -70,57 +77,133 @@ def parsed(docs: DataFrame, leading: int = LEADING, least: int = WORDS) -> DataF
     return rows.mapInArrow(run, "place long, line_no int, text long, leaf long, line long, words binary")
 
 
-def cluster(lines: np.ndarray, similar: float) -> np.ndarray:
-    """The template of every row of word hashes (all of one length), in order of the rows."""
-    templates = np.empty((0, lines.shape[1]), np.int32)
-    out = np.empty(len(lines), np.int64)
+def segments(length: int, similar: float, leading: int) -> tuple[int, list[tuple[int, int]]]:
+    """How many words a line must share with its template, and cuts of the words behind the leading ones.
+
+    There is one cut more than words that may differ, so one of them is equal in both.
+    """
+    need = max(1, int(np.ceil(similar * length - 1e-9)))
+    places = np.linspace(min(leading, length), length, length - need + 2).astype(int).tolist()
+    return need, list(zip(places, places[1:], strict=False))
+
+
+def cluster(lines: np.ndarray, similar: float, leading: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The template of every row of word hashes (all of one length), in order of the rows, and the templates.
+
+    Fields are -1, in rows as well, and equal no word. The first `leading` words are equal in all rows.
+    """
+    n, length = lines.shape
+    need, cuts = segments(length, similar, leading)
+    templates, count = np.empty((16, length), np.int32), 0
+    index: dict[tuple, list[int]] = {}
+    out = np.empty(n, np.int64)
     for k, line in enumerate(lines.astype(np.int32)):
-        if len(templates):
-            shared = (templates == line).sum(axis=1)
+        keys = [(a, b, line[a:b].tobytes()) for a, b in cuts if (line[a:b] >= 0).all()]
+        near = None if count <= FEW else np.array(sorted({t for key in keys for t in index.get(key, ())}), np.int64)
+        held = templates[:count] if near is None else templates[near]
+        if len(held):
+            shared = ((held == line) & (line >= 0)).sum(axis=1)
             best = int(shared.argmax())
-            if shared[best] >= similar * len(line):
-                templates[best][templates[best] != line] = -1
-                out[k] = best
+            if shared[best] >= need:
+                at = best if near is None else int(near[best])
+                templates[at][templates[at] != line] = -1
+                out[k] = at
                 continue
-        templates = np.vstack((templates, line))
-        out[k] = len(templates) - 1
-    return out
+        if count == len(templates):
+            templates = np.vstack((templates, np.empty_like(templates)))
+        templates[count] = line
+        for key in keys:
+            index.setdefault(key, []).append(count)
+        out[k] = count
+        count += 1
+    return out, templates[:count]
+
+
+def _views(lines: DataFrame, similar: float, leading: int) -> DataFrame:
+    """Lines of large leaves, with a leaf for every segment of their words."""
+
+    def run(batches):
+        for batch in batches:
+            line, times, leaves, words = (batch.column(c).to_pylist() for c in ("line", "times", "leaf", "words"))
+            rows = []
+            for i, w in enumerate(words):
+                for a, b in set(segments(len(w) // 2, similar, leading)[1]):
+                    key = leaves[i].to_bytes(8, "little", signed=True) + a.to_bytes(4, "little") + b.to_bytes(4, "little") + w[2 * a : 2 * b]
+                    rows.append((xxhash.xxh3_64_intdigest(key) - (1 << 63), line[i], w, times[i]))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["leaf", "line", "words", "times"])
+
+    return lines.select("leaf", "line", "words", "times").mapInArrow(run, "leaf long, line long, words binary, times long")
 
 
-def _clustered(lines: DataFrame, similar: float) -> DataFrame:
-    """line and template (the hash of the template's first line) of every distinct line."""
+def _clustered(lines: DataFrame, similar: float, leading: int, limit: int) -> DataFrame:
+    """line and template (hashes of the template's first line and of the leaf in one) of every distinct line of a leaf.
+
+    The first line of a template of a dealt leaf also has its leaf, its weight and its words with fields.
+    """
+    keys = ["leaf", "part"]
 
     def run(batches):
-        for part in sorted_groups(batches, ["leaf"]):
-            line, words, cut = part.column("line").to_numpy(), part.column("words").to_pylist(), bounds(part, ["leaf"])
-            template = line.copy()
+        for group in sorted_groups(batches, keys):
+            line, leaf, n, times = (group.column(c).to_numpy() for c in ("line", "leaf", "n", "times"))
+            words, cut = group.column("words").to_pylist(), bounds(group, keys)
+            template, weight, shape = line ^ leaf, times.copy(), [None] * len(line)
             for a, b in zip(cut, cut[1:], strict=False):
-                if b - a > 1:
-                    which = cluster(np.frombuffer(b"".join(words[a:b]), np.uint16).reshape(b - a, -1), similar)
-                    first = np.unique(which, return_index=True)[1]
-                    template[a:b] = line[a:b][first[which]]
-            yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(template)], ["line", "template"])
+                if b - a == 1 and n[a] <= limit:
+                    continue
+                which, found = cluster(np.frombuffer(b"".join(words[a:b]), np.uint16).reshape(b - a, -1), similar, leading)
+                first = np.unique(which, return_index=True)[1]
+                template[a:b] = template[a:b][first[which]]
+                if n[a] > limit:
+                    weight[a:b] = np.bincount(which, times[a:b])[which]
+                    for x, i in enumerate(first):
+                        shape[a + i] = found[x].tobytes()
+            columns = [pa.array(line), pa.array(template), pa.array(leaf), pa.array(weight), pa.array(shape, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["line", "template", "leaf", "weight", "shape"])
+
+    parts = F.ceil(F.col("n") / limit)
+    dealt = lines.withColumn("part", F.when(parts > 1, F.pmod("line", parts)).otherwise(0))
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, F.desc("times"), "line")
+    return dealt.select(*keys, "line", "words", "n", "times").mapInArrow(run, "line long, template long, leaf long, weight long, shape binary")
+
+
+def _merged(heads: DataFrame, similar: float, leading: int) -> DataFrame:
+    """template and whole (the template over all parts of the leaf) of every part's template."""
 
-    dealt = lines.repartition("leaf").sortWithinPartitions("leaf", F.desc("times"), "line")
-    return dealt.select("leaf", "line", "words").mapInArrow(run, "line long, template long")
+    def run(batches):
+        for group in sorted_groups(batches, ["leaf"]):
+            template, shape, cut = group.column("template").to_numpy(), group.column("shape").to_pylist(), bounds(group, ["leaf"])
+            whole = template.copy()
+            for a, b in zip(cut, cut[1:], strict=False):
+                which, _ = cluster(np.frombuffer(b"".join(shape[a:b]), np.int32).reshape(b - a, -1), similar, leading)
+                whole[a:b] = template[a:b][np.unique(which, return_index=True)[1][which]]
+            yield pa.RecordBatch.from_arrays([pa.array(template), pa.array(whole)], ["template", "whole"])
+
+    dealt = heads.repartition("leaf").sortWithinPartitions("leaf", F.desc("weight"), "template")
+    return dealt.select("leaf", "template", "shape").mapInArrow(run, "template long, whole long")
 
 
 def recurring(lines: DataFrame, at: str, texts: int = TEXTS, similar: float = SIMILAR, leading: int = LEADING, limit: int = LEAF) -> DataFrame:
-    """line and template of the lines whose template is in so many distinct texts, from parsed lines."""
+    """line and template of the lines whose template is in so many distinct texts, from parsed lines; by view where a leaf is large."""
+
+    def alive(rows: DataFrame) -> DataFrame:
+        # leaves that cannot recur are left out; they are most
+        sizes = rows.groupBy("leaf").agg(F.sum("times").alias("all"), F.count("*").alias("n")).where(F.col("all") >= texts)
+        return rows.join(sizes.drop("all"), "leaf")
+
     distinct = stored(lines.groupBy("leaf", "line").agg(F.first("words").alias("words"), F.count("*").alias("times")), f"{at}/lines")
-    sizes = distinct.groupBy("leaf").agg(F.sum("times").alias("all"), F.count("*").alias("n")).where(F.col("all") >= texts)
-    # leaves that cannot recur are left out; they are most
-    live = stored(distinct.join(sizes.drop("all"), "leaf"), f"{at}/leaves0")
-    for step in range(1, DEEPEN + 1):
-        large = F.col("n") > limit
-        if live.where(large).isEmpty():
-            break
-        # 2 bytes a word: the next words divide a large leaf
-        more = F.expr(f"substring(words, {2 * leading * step + 1}, {2 * leading})")
-        deeper = live.where(large).withColumn("leaf", F.xxhash64("leaf", more)).drop("n")
-        counts = deeper.groupBy("leaf").agg(F.count("*").alias("n"))
-        live = stored(live.where(~large).unionByName(deeper.join(counts, "leaf"), allowMissingColumns=True), f"{at}/leaves{step}")
-    templates = stored(_clustered(live, similar), f"{at}/templates")
+    live = stored(alive(distinct), f"{at}/leaves")
+    large = F.col("n") > limit
+    if not live.where(large).isEmpty():
+        views = stored(_views(live.where(large), similar, leading), f"{at}/views")
+        live = live.where(~large).unionByName(alive(views))
+    found = stored(_clustered(live, similar, leading, limit), f"{at}/clustered")
+    templates, heads = found.select("line", "template"), found.where("shape IS NOT NULL")
+    if not heads.isEmpty():
+        whole = _merged(heads, similar, leading)
+        templates = stored(templates.join(whole, "template", "left").select("line", F.coalesce("whole", "template").alias("template")), f"{at}/templates")
     where = lines.select("line", "text").join(templates, "line").select("template", "text").distinct()
     often = where.groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= texts)
     return stored(templates.join(often, "template"), f"{at}/recurring")
@@ -130,7 +213,7 @@ def dropped_lines(docs: DataFrame, **how) -> DataFrame:
     """place and the numbers (from 0) of the lines to drop, for every row that has some."""
     at = folder(docs.sparkSession, "line-templates")
     lines = stored(parsed(docs), f"{at}/parsed")
-    hits = lines.select("place", "line_no", "line").join(recurring(lines, at, **how).select("line"), "line")
+    hits = lines.select("place", "line_no", "line").join(recurring(lines, at, **how).select("line").distinct(), "line")
     # the lines of one text, so no group is larger than a text
     return hits.groupBy("place").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
 

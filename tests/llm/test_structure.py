@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -201,6 +202,25 @@ def test_large_leaves_are_divided(spark, tmp_path):
     assert [r.dropped for r in got] == [",".join(map(str, range(20)))] * 12
 
 
+def test_field_right_after_the_leading_words_of_a_large_leaf(spark, tmp_path):
+    """The names stand in the words that follow the leaf's key, each in one text; the leaf is larger than its limit."""
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) + "son" for i in range(400)]
+    texts = [(i, f"{data.prose(i, 24)}\nPosted in category by {x}\nwas written by {x}") for i, x in enumerate(names)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for limit in (20_000, 30):
+        assert {r.dropped for r in line_templates.decisions(docs, limit=limit).collect()} == {"2,3"}, limit
+
+
+def test_clusters_by_segments_are_those_of_all_templates(monkeypatch):
+    r = np.random.default_rng(3)
+    lines = np.hstack((np.tile([7, 8, 9], (3000, 1)), r.integers(0, 3, (3000, 6)) * 11 + r.integers(0, 2, (3000, 6)))).astype(np.uint16)
+    by_segments = line_templates.cluster(lines, 0.75, 3)
+    monkeypatch.setattr(line_templates, "FEW", 10_000)
+    want = line_templates.cluster(lines, 0.75, 3)
+    assert len(want[1]) > 64 and all((a == b).all() for a, b in zip(by_segments, want, strict=True))
+
+
 RAW = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
