@@ -20,8 +20,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents, for every document."""
-    return line_templates.decisions(table(spark, sf_dir, "documents"))
+    """Lines whose template recurs across documents, short ones too, for every document."""
+    return line_templates.decisions(table(spark, sf_dir, "documents"), least=1)
 
 
 @query

@@ -16,8 +16,11 @@ into parts by the lines' hashes; the templates of its parts, one row each, are t
 among themselves by the same rule, so a template counts the texts of all parts. All lines of
 a template share its constant words at every step. Only hashes of words travel.
 
-Defined results: null and empty texts have one line without words; lines of fewer than
-`WORDS` words are never dropped. Lines are parted by \\n; repeated rows lose the same lines.
+Lines of fewer than `WORDS` words are compared as they are, with equal words in all places,
+since a field would leave too little of them.
+
+Defined results: null and empty texts have one line without words; a line without words is
+never dropped, nor is one of fewer than `least` words (a parameter). Lines are parted by \\n; repeated rows lose the same lines.
 Lines of equal rank are clustered in the order of their hashes.
 """
 
@@ -44,7 +47,10 @@ def words_of(line: str) -> list[str]:
 
 
 def parsed(docs: DataFrame, leading: int = LEADING, least: int = WORDS) -> DataFrame:
-    """place, line_no, text (a hash of all of it), leaf, line and 16-bit word hashes, for each line with enough words."""
+    """place, line_no, text (a hash of all of it), leaf, line and 16-bit word hashes, for each line with enough words.
+
+    A short line's leaf is the line.
+    """
 
     def run(batches):
         memo: dict[str, int] = {}
@@ -55,8 +61,11 @@ def parsed(docs: DataFrame, leading: int = LEADING, least: int = WORDS) -> DataF
                 sign = xxhash.xxh3_64_intdigest(text)
                 for no, line in enumerate(text.split("\n")):
                     words = words_of(line)
-                    if len(words) < least:
+                    if len(words) < max(least, 1):
                         continue
+                    short = len(words) < WORDS
+                    if short:
+                        words = line.split()
                     hashes = []
                     for w in words:
                         h = memo.get(w)
@@ -64,7 +73,7 @@ def parsed(docs: DataFrame, leading: int = LEADING, least: int = WORDS) -> DataF
                             h = memo[w] = xxhash.xxh3_64_intdigest(w)
                         hashes.append(h)
                     h = np.array(hashes, np.uint64)
-                    leaf = xxhash.xxh3_64_intdigest(h[:leading].tobytes() + len(words).to_bytes(4, "little"))
+                    leaf = xxhash.xxh3_64_intdigest((h if short else h[:leading]).tobytes() + len(words).to_bytes(4, "little"))
                     rows.append((place, no, sign - (1 << 63), leaf - (1 << 63), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), h.astype(np.uint16).tobytes()))
                 if len(memo) > MEMO:
                     memo.clear()
@@ -209,10 +218,10 @@ def recurring(lines: DataFrame, at: str, texts: int = TEXTS, similar: float = SI
     return stored(templates.join(often, "template"), f"{at}/recurring")
 
 
-def dropped_lines(docs: DataFrame, **how) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = WORDS, **how) -> DataFrame:
     """place and the numbers (from 0) of the lines to drop, for every row that has some."""
     at = folder(docs.sparkSession, "line-templates")
-    lines = stored(parsed(docs), f"{at}/parsed")
+    lines = stored(parsed(docs, how.get("leading", LEADING), least), f"{at}/parsed")
     hits = lines.select("place", "line_no", "line").join(recurring(lines, at, **how).select("line").distinct(), "line")
     # the lines of one text, so no group is larger than a text
     return hits.groupBy("place").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))

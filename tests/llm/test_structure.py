@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hourlake.llm import chosen_path, line_templates, pii, warc
+from hourlake.llm.catalog import QUERIES
 from hourlake.llm.common import folder
 from hourlake.llm.components import components
 from tests.llm import data
@@ -212,6 +213,15 @@ def test_field_right_after_the_leading_words_of_a_large_leaf(spark, tmp_path):
         assert {r.dropped for r in line_templates.decisions(docs, limit=limit).collect()} == {"2,3"}, limit
 
 
+def test_short_lines_of_the_query(spark, tmp_path):
+    """Lines of one to three words fall if they recur as they are; lines that are alike but for a field stay, so do empty ones."""
+    texts = [(i, f"{data.prose(i, 24)}\nAll rights  reserved.\n\nMenu\nPage {i}\n{i}\n{data.words(i, 1)[0]}{i} x") for i in range(12)]
+    docs = spark.createDataFrame([*texts, (50, "Menu\nonce"), (51, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.dropped for r in QUERIES["op1_template_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: "2,4" for i in range(12)} | {50: "0", 51: ""}
+
+
 def test_clusters_by_segments_are_those_of_all_templates(monkeypatch):
     r = np.random.default_rng(3)
     lines = np.hstack((np.tile([7, 8, 9], (3000, 1)), r.integers(0, 3, (3000, 6)) * 11 + r.integers(0, 2, (3000, 6)))).astype(np.uint16)
