@@ -1,6 +1,7 @@
 """Exact dedup and mixing against plain Python, compression bands against the definitions."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -74,6 +75,27 @@ def test_bands_reject_repetition_and_noise():
     assert not compression.in_bands(b"", tool)[0]
 
 
+def test_bands_reject_random_letters_and_half_junk():
+    """Words of random characters, where prose of that length is told from them, and prose with a half or third of encoded words."""
+    tool, r = zstandard.ZstdCompressor(level=compression.LEVEL), random.Random(11)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    mixed, digits = lower + lower.upper() + "0123456789+/", "0123456789abcdef"
+
+    def junk(letters, n):
+        return " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(n // 4))[:n].encode()
+
+    for letters, sizes in ((mixed, (700, 1000, 3000, 20_000)), (lower, (2000, 3000, 5000, 20_000)), (digits, (6000, 20_000))):
+        assert not any(compression.in_bands(junk(letters, n), tool)[0] for n in sizes for _ in range(5))
+    prose = data.prose(3, 4000).encode()
+    for n in (3000, 5000, 20_000):
+        assert compression.in_bands(prose[:n], tool)[0]
+        assert not compression.in_bands(prose[: n // 2] + b"\n" + junk(mixed, n // 2), tool)[0]
+    assert not compression.in_bands(prose[:8000] + b"\n" + junk(mixed, 4096), tool)[0]
+    # syllables of three bytes
+    korean = " ".join("".join(chr(0xAC00 + min(int(r.expovariate(1 / 900)), 11_000)) for _ in range(r.randint(2, 5))) for _ in range(400))
+    assert compression.in_bands(korean.encode(), tool)[0]
+
+
 def test_good_rows_stay_unchanged(docs):
     kept = compression.keep_good(docs)
     assert kept.columns == docs.columns
