@@ -279,20 +279,21 @@ def direct_forecast(model: PipelineModel, features: DataFrame, horizon: int) ->
 
 
 def _step_features(step: int, start: Column) -> dict[str, Column]:
-    """Model inputs of one step from the value tails; short tails use the newest value."""
+    """Model inputs of one step from the value tails; short tails use the newest value, empty ones 0 (their prediction is not used)."""
     ts = F.timestamp_seconds(F.unix_seconds(start) + (step - 1) * 3600)
     out: dict[str, Column] = {}
     for m, s in SHORT.items():
         tail = F.col(f"_{m}")
         n = F.size(tail)
-        newest = F.element_at(tail, -1)
+        newest = F.try_element_at(tail, F.lit(-1))
         out[m] = newest
         out[f"meteostat_{m}"] = F.coalesce(F.col(f"_last_{m}"), newest)
         for k in (1, 6, 12, 24):
             out[f"{s}_lag_{k}"] = F.when(n >= k, F.element_at(tail, -k)).otherwise(newest)
         for k in (24, 168):
             part = F.slice(tail, F.greatest(F.lit(1), n - (k - 1)), F.lit(k))
-            out[f"{s}_rolling_{k}"] = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part)
+            out[f"{s}_rolling_{k}"] = F.try_divide(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), F.size(part))
+    out = {c: F.coalesce(v, F.lit(0.0)) for c, v in out.items()}
     h, d, mo = F.hour(ts), F.dayofweek(ts), F.month(ts)
     for c, v, period in (("hour", h, 24), ("day_of_week", d, 7), ("month", mo, 12)):
         out[c] = v.cast("double")
@@ -307,7 +308,8 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, target: str, ho
 
     Each series is one row holding its last 168 values, so a step is one
     `transform` over all series. The other metric advances by its fallback
-    forecast. Series with under 24 values take their fallback throughout.
+    forecast. Series with under 24 values of either metric take their fallback throughout,
+    NULL where they have no value of the target at all.
     """
     other = "humidity" if target == "temperature" else "temperature"
     keys = [*SERIES, "province_id"]
@@ -319,7 +321,11 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, target: str, ho
     path = lambda m, name: ahead.where(F.col("metric_type") == m).select(*keys, F.transform("f", lambda x: x["base_forecast_value"]).alias(name))
     ref = hist.groupBy(*keys).agg(*[
         F.max_by(f"meteostat_{m}", F.when(F.col(f"meteostat_{m}").isNotNull(), F.col("hour_ts"))).alias(f"_last_{m}") for m in SHORT])
-    state = side(target).join(side(other), keys).join(path(target, "_own"), keys).join(path(other, "_ahead"), keys).join(ref, keys)
+    state = hist.select(*keys).distinct()
+    for part in (side(target), side(other), path(target, "_own"), path(other, "_ahead"), ref):
+        part = part.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        state = state.join(part, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
+    state = state.withColumns({f"_{m}": F.coalesce(f"_{m}", F.array().cast("array<double>")) for m in (target, other)})
     enough = (F.size(f"_{target}") >= forecast.MINIMUM) & (F.size(f"_{other}") >= forecast.MINIMUM)
     # ids never change along the way, so they are indexed once
     fixed = [m for m in model.stages if isinstance(m, StringIndexerModel)]

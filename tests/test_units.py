@@ -283,3 +283,27 @@ def test_recursive_forecast_matches_a_step_by_step_loop(spark):
         temp.append(p)
         hum.append(ahead[step])
     assert max(abs(a - b) for a, b in zip(got, want)) < 1e-8
+
+
+def test_recursive_forecast_keeps_series_without_a_metric(spark):
+    """Series without humidity, without temperature, without either and without a province have all their rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from hourlake.plans import training
+
+    n, H = 30, 2
+    value = {"both": (1, 1), "dry": (1, None), "cold": (None, 1), "none": (None, None), "free": (1, 1)}
+    data = [("l", d, None if d == "free" else "p", at(3600 * i), t and 20.0 + i % 7, h and 50.0 + i % 5, 19.0, None) for d, (t, h) in value.items() for i in range(n)]
+    hist = rows(spark, data, "location_id string, device_id string, province_id string, hour_ts timestamp, temperature double, "
+                             "humidity double, meteostat_temperature double, meteostat_humidity double")
+    numeric = ["temperature", "humidity", "temp_lag_1", "temp_rolling_24"]
+    base = hist.where("device_id = 'both'").withColumns({"temp_lag_1": F.col("temperature"), "temp_rolling_24": F.col("temperature"), "y": F.col("temperature")})
+    model = Pipeline(stages=[*training.preprocess_stages(numeric), LinearRegression(labelCol="y", regParam=0.1)]).fit(base)
+    got = training.recursive_forecast(model, hist, "temperature", H, F.lit(at(3600 * n))).collect()
+    assert sorted((r.device_id, r.horizon_step) for r in got) == sorted((d, k) for d in value for k in (1, 2))
+    state = {r.device_id: (r.model_status, r.base_forecast_value is None) for r in got}
+    assert state == {"both": ("trained", False), "free": ("trained", False), "dry": ("insufficient_data", False),
+                     "cold": ("insufficient_data", True), "none": ("insufficient_data", True)}
+    want = {(r.device_id, r.horizon_step): r.base_forecast_value for r in forecast.fallback_forecast(hist, ["device_id"], H).where("metric_type = 'temperature'").collect()}
+    assert all(r.base_forecast_value == want[r.device_id, r.horizon_step] for r in got if r.device_id in ("dry", "cold", "none"))
