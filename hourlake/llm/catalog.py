@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourlake.llm import bpe, chosen_path, compression, exact_dedup, language, line_templates, mixing, pii, toxicity, warc
+from hourlake.llm import (
+    bpe, chosen_path, compression, debruijn, exact_dedup, hard_negatives, language, line_templates, mixing, pii, ranked_search, toxicity, warc,
+)
 from hourlake.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +108,32 @@ def op2_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base digest and all spans of personal data, for every document."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_clustered_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; a seventh of the rows first change their label."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_clustered_negatives"] = hard_negatives.SQL
+
+
+@query
+def op12_accumulator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_accumulator_search"] = ranked_search.SQL
+
+
+@query
+def op13_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that repeat 13-word windows of documents with smaller ids."""
+    return debruijn.without_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_debruijn_substrings"] = debruijn.SQL
