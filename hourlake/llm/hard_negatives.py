@@ -302,7 +302,9 @@ def mine(rows: DataFrame, is_anchor, positives: int = POSITIVES, negatives: int
 
     everything = lambda x: F.array(F.lit(x).cast("long"))
     good = stored(both(chosen.withColumns({"low": everything(LOW), "high": everything(HIGH)}), True, positives, "positives"), f"{at}/positives")
-    windows = good.where("score >= 0").withColumn("least", F.expr(f"({least[0]} * score + {least[1] - 1}) div {least[1]}")).groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "least", "score"))).alias("w"))
+    num, den = least
+    least_score = f"{num} * (score div {den}) + ({num} * (score % {den}) + {den - 1}) div {den}"
+    windows = good.where("score >= 0").withColumn("least", F.expr(least_score)).groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "least", "score"))).alias("w"))
     asked = chosen.join(windows, chosen.place == windows.anchor).withColumns({"low": F.col("w.least"), "high": F.col("w.score")}).drop("w", "anchor")
     bad = both(asked, False, negatives, "negatives").select("anchor", (F.col("slot") + 1).alias("nth"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     names = homed.where(F.coalesce(is_anchor, F.lit(False))).select(F.col("place").alias("anchor"), F.col("vec_id").alias("anchor_id"))
