@@ -193,7 +193,7 @@ def _stretches(rows: DataFrame, window: int, piece: int) -> DataFrame:
 
 
 def compacted(stretches: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(heads of compacted paths, minimizers whose stretches must be compared window by window).
+    """(heads of compacted paths, paths (minimizer, hash) that must be compared window by window).
 
     heads: minimizer, hash, check, doc_id and the source (place, position) of the path's first
     stretch, and `span`, the windows of the whole path.
@@ -204,8 +204,9 @@ def compacted(stretches: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
         F.min("check").alias("check"), (F.min("check") == F.max("check")).alias("sound"), one("before").alias("before"), one("after").alias("after"),
     )
     paths = stored(paths, f"{at}/paths")
-    mixed = stored(paths.groupBy("minimizer").agg((F.count("*") > 1).alias("many"), F.min("sound").alias("sound")).where("many OR NOT sound").select("minimizer"), f"{at}/mixed")
-    plain = paths.join(mixed, "minimizer", "left_anti").where("last > source.doc_id").select(
+    many = paths.groupBy("minimizer").agg((F.count("*") > 1).alias("many"), F.min("sound").alias("sound")).where("many OR NOT sound").select("minimizer")
+    mixed = stored(paths.select("minimizer", "hash").join(many, "minimizer"), f"{at}/mixed")
+    plain = paths.join(mixed.select("minimizer").distinct(), "minimizer", "left_anti").where("last > source.doc_id").select(
         "minimizer", "hash", "check", "length", "before", "after", "source.doc_id", "source.place", "source.position")
     # a path follows another one if they adjoin at the source and each is the other's only neighbour
     ends = plain.where("after <> 0").select("place", (F.col("position") + F.col("length")).alias("position"), F.col("hash").alias("before"), F.col("after").alias("hash"))
@@ -227,13 +228,16 @@ def spans(docs: DataFrame, at: str, window: int = WINDOW, piece: int = PIECE) ->
     rows = keyed.where("doc_id IS NOT NULL").join(lists.hint("merge"), "place")
     stretches = stored(_stretches(rows, window, piece), f"{at}/stretches")
     heads, mixed = compacted(stretches.drop("windows"), at)
-    source = heads.select("minimizer", "hash", F.col("check").alias("source_check"), F.col("doc_id").alias("source_id"), "span")
-    met = stretches.select("minimizer", "hash", "check", "doc_id", "place", "position").join(source, ["minimizer", "hash"]).where("doc_id > source_id AND check = source_check")
-    long = met.select("place", F.col("position").alias("a"), (F.col("position") + F.col("span") + (window - 1)).alias("b"))
-    apart = stretches.select("minimizer", "doc_id", "place", "position", "windows").join(mixed, "minimizer")
-    single = apart.select("minimizer", "doc_id", "place", "position", F.posexplode("windows").alias("i", "w"))
+    # what becomes of a stretch: the span of the path it heads, or a look at each of its windows (span is null)
+    fate = heads.select("minimizer", "hash", F.col("check").alias("source_check"), F.col("doc_id").alias("source_id"), "span").unionByName(mixed, allowMissingColumns=True)
+    met = stretches.select("minimizer", "hash", "check", "doc_id", "place", "position", "windows").join(fate, ["minimizer", "hash"])
+    met = met.where("span IS NULL OR (doc_id > source_id AND check = source_check)")
+    met = stored(met.select("minimizer", "doc_id", "place", "position", "span", F.when(F.col("span").isNull(), F.col("windows")).alias("windows")), f"{at}/met")
+    long = met.where("span IS NOT NULL").select("place", F.col("position").alias("a"), (F.col("position") + F.col("span") + (window - 1)).alias("b"))
+    single = met.where("span IS NULL").select("minimizer", "doc_id", "place", "position", F.posexplode("windows").alias("i", "w"))
+    single = single.select("minimizer", "w", "doc_id", "place", (F.col("position") + F.col("i")).alias("a"))
     first = stored(single.groupBy("minimizer", "w").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).where("last > source_id").drop("last"), f"{at}/first")
-    short = single.join(first, ["minimizer", "w"]).where("doc_id > source_id").select("place", (F.col("position") + F.col("i")).alias("a"))
+    short = single.join(first, ["minimizer", "w"]).where("doc_id > source_id").select("place", "a")
     # neighbouring windows become one span before they are gathered
     along = Window.partitionBy("place").orderBy("a")
     islands = short.withColumn("island", F.col("a") - F.row_number().over(along)).groupBy("place", "island").agg(F.min("a").alias("a"), (F.max("a") + window).alias("b")).drop("island")
@@ -266,7 +270,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -
     spark = docs.sparkSession
     at = folder(spark, "debruijn")
     cut = spans(docs, at, window, piece)
-    for step in ("lists", "stretches", "paths", "mixed", "heads", "first"):
+    for step in ("lists", "stretches", "paths", "mixed", "heads", "met", "first"):
         drop_folder(spark, f"{at}/{step}")
     return _kept(_keyed(docs).join(cut.hint("merge"), "place", "left").select("doc_id", "text", "spans"))
 
