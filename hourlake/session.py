@@ -1,6 +1,8 @@
 """Session helpers: UTC time, AQE, and where checkpoints go."""
 
+import re
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     named = tempfile.mkdtemp(prefix="hourlake-")
     spark.conf.set("spark.checkpoint.dir", named)
@@ -80,6 +82,17 @@ def input_version(spark: SparkSession, folder: str) -> str:
     return hashlib.md5("\n".join(lines).encode()).hexdigest()
 
 
+@cache
+def code_version() -> str:
+    """A digest of the library's sources: tables made by other code are not taken for its own."""
+    import hashlib
+    import pathlib
+
+    top = pathlib.Path(__file__).parent
+    own = sorted(f for f in top.rglob("*.py") if f.relative_to(top).parts[0] != "llm")
+    return hashlib.md5(b"".join(f.read_bytes() for f in own)).hexdigest()[:12]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder that this library wrote."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

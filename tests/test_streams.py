@@ -68,11 +68,31 @@ import sys
 sys.path.insert(0, {top!r})
 from hourlake.session import get_session, ship_package
 from hourlake.operators import spacing
-spark = get_session("away", "local-cluster[1,1,1024]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": 1}})
+spark = get_session("away", "local[1]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": 1}})
 ship_package(spark)
+sys.path.remove({top!r})
 df = spark.createDataFrame([(1, "a", 0, "high"), (2, "a", 1, "high")], "id int, k string, s int, status string").selectExpr("*", "timestamp_seconds(s) AS ts")
 assert spacing.apply_cooldown(df, ["k"], "ts", "id").count() == 1
+where = spark.range(1).mapInPandas(lambda b: (x.assign(id=[__import__("hourlake").__file__] * len(x)) for x in b), "id string").first().id
+assert ".zip" in where, where
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-1500:]
+
+
+@pytest.mark.parametrize(("master", "one"), [("local", True), ("local[8]", True), ("local[*]", True), ("local-cluster[1,1,1024]", False), ("spark://host:7077", False)])
+def test_only_local_masters_get_a_local_folder(master, one):
+    """A folder of one machine is never chosen where executors run elsewhere."""
+    from types import SimpleNamespace
+
+    from hourlake.session import shared_dir
+
+    kept = {}
+    conf = SimpleNamespace(get=lambda k, d: kept.get(k, d), set=kept.__setitem__)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    if one:
+        assert shared_dir(session) == kept["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(ValueError):
+            shared_dir(session)
