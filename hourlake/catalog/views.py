@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hourlake.functions import when
 from hourlake.operators import alerts, evaluation, features, forecast, matching, quality, rollup, tables
-from hourlake.session import exists, input_version, remove, shared_dir
+from hourlake.session import code_version, exists, input_version, remove, shared_dir
 from hourlake.operators.ranking import oldest
 from hourlake.plans.training import CYCLIC, NUMERIC
 from hourlake.functions.models import default_ids
@@ -60,10 +60,11 @@ class Views:
         """Layer table: written once for each version of the input files, and shared by all readers.
 
         The folder is named by table and input folder, its versions by a digest of the input
-        files' names, sizes and times. Writing a new version removes the older ones.
+        files' names, sizes and times and one of the library's code. Writing a new version removes
+        the older ones.
         """
         place = f"{shared_dir(self.spark)}/layers/{name}-{hashlib.md5(self.dir.encode()).hexdigest()[:12]}"
-        path = f"{place}/{input_version(self.spark, self.dir)}"
+        path = f"{place}/{input_version(self.spark, self.dir)}-{code_version()}"
         if not exists(self.spark, f"{path}/_SUCCESS"):
             remove(self.spark, place)
             tables.write_table(df, path)

@@ -170,11 +170,11 @@ def w13l(v):
   WITH numbered AS (SELECT *, row_number() OVER ({_W}) - 1 AS k FROM (SELECT * FROM series WHERE temperature IS NOT NULL AND humidity IS NOT NULL
       AND meteostat_temperature IS NOT NULL AND meteostat_humidity IS NOT NULL)),
   seq AS (SELECT location_id, device_id, hour_ts, k, temperature AS label, first_value(temperature) OVER w AS first_temperature,
-    count(*) OVER w AS steps, sum(humidity) OVER w AS humidity_sum FROM numbered WINDOW w AS ({_W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+    count(*) OVER w AS steps, sum(humidity) OVER w AS humidity_sum FROM numbered WINDOW w AS ({_W} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))
   SELECT {_S}, {r('label')} AS label, CAST(steps AS INT) AS steps, {r('first_temperature', 3)} AS first_temperature,
-    {r('humidity_sum', 3)} AS humidity_sum FROM seq WHERE k >= 24 AND (k - 24) % 6 = 0""")
+    {r('humidity_sum', 3)} AS humidity_sum FROM seq WHERE k >= 168 AND (k - 168) % 6 = 0""")
 def w14(v):
-    s = features.sequence_windows(v.series, "temperature", 24, stride=6)
+    s = features.sequence_windows(v.series, "temperature", 168, stride=6)
     total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[1].cast("double"))
     return s.select(
         "location_id", "device_id", "hour_ts", shown(F.col("label")).alias("label"), F.size("sequence").alias("steps"),

@@ -123,31 +123,56 @@ def hour_spine(base: DataFrame) -> DataFrame:
     )
 
 
-def sequence_windows(df: DataFrame, target: str, w: int, stride: int = 1, cap: int | None = None,
-                     cols=("temperature", "humidity", "meteostat_temperature", "meteostat_humidity")) -> DataFrame:
-    """One row per label: the w rows before it, every stride-th, all values finite.
+INPUTS = ("temperature", "humidity", "meteostat_temperature", "meteostat_humidity")
 
-    `cap` keeps the newest labels per series, as the sequence set's size setting does.
+
+def numbered_rows(df: DataFrame, target: str, w: int, cols=INPUTS, stride: int = 1, cap: int | None = None) -> DataFrame:
+    """Rows of finite inputs with their number `k` in the series, inputs `x`, `label` and `is_label`.
+
+    A label has w rows before it, every stride-th counts; `cap` leaves the newest of each series.
     """
-    win = series_window()
     vals = [F.col(c).cast("double") for c in cols]
     ok = F.lit(True)
     for v in vals:
         ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    y = F.col(target)
-    numbered = (
-        df.where(ok)
-        .withColumn("_row", F.row_number().over(win) - 1)
-        .withColumn("sequence", F.collect_list(F.array(*[v.cast("float") for v in vals])).over(win.rowsBetween(-w, -1)))
-    )
-    kept = numbered.where(
-        (F.col("_row") >= w) & (F.pmod(F.col("_row") - w, F.lit(stride)) == 0) & y.isNotNull() & ~F.isnan(y)
-    ).select(*SERIES, "hour_ts", "sequence", y.alias("label"))
+    y, k = F.col(target).cast("double"), F.col("k")
+    is_label = (k >= w) & (F.pmod(k - w, F.lit(stride)) == 0) & y.isNotNull() & ~F.isnan(y)
+    rows = df.where(ok).withColumn("k", F.row_number().over(series_window()) - 1).select(
+        *SERIES, "hour_ts", "k", F.array(*[v.cast("float") for v in vals]).alias("x"), y.alias("label"), is_label.alias("is_label"))
     if cap:
-        from hourlake.operators.ranking import recent_n
+        newest_first = Window.partitionBy(*SERIES).orderBy(F.desc("k"))
+        later = F.sum(F.col("is_label").cast("int")).over(newest_first)
+        rows = rows.withColumn("is_label", F.col("is_label") & (later <= cap))
+    return rows
 
-        kept = recent_n(kept, SERIES, "hour_ts", cap)
-    return kept
+
+def sequence_chunks(df: DataFrame, target: str, w: int, stride: int = 1, cap: int | None = None, cols=INPUTS, chunk: int = 1024) -> DataFrame:
+    """Pieces of series: `rows` (inputs in time order) and `windows` (offset, hour_ts, label).
+
+    A window is rows[offset : offset + w]. A piece holds the rows of `chunk` labels and a halo
+    of the w rows before them, so every row is stored 1 + w / chunk times in the mean instead
+    of once for each of its w windows.
+    """
+    size = max(chunk, w)
+    rows = numbered_rows(df, target, w, cols, stride, cap)
+    own = F.floor(F.col("k") / size).cast("int")
+    # the last w rows of a piece are also the halo of the next one
+    tail = F.pmod(F.col("k"), F.lit(size)) >= size - w
+    dealt = rows.withColumn("chunk", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    mine = F.col("is_label") & (own == F.col("chunk"))
+    pieces = dealt.groupBy(*SERIES, "chunk").agg(
+        F.min("k").alias("_first"), F.sort_array(F.collect_list(F.struct("k", "x"))).alias("_rows"),
+        F.sort_array(F.collect_list(F.when(mine, F.struct("k", "hour_ts", "label")))).alias("_labels"),
+    ).where(F.size("_labels") > 0)
+    window = lambda v: F.struct((v["k"] - w - F.col("_first")).alias("offset"), v["hour_ts"].alias("hour_ts"), v["label"].alias("label"))
+    return pieces.select(*SERIES, "chunk", F.transform("_rows", lambda v: v["x"]).alias("rows"), F.transform("_labels", window).alias("windows"))
+
+
+def sequence_windows(df: DataFrame, target: str, w: int, stride: int = 1, cap: int | None = None, cols=INPUTS, chunk: int = 1024) -> DataFrame:
+    """One row per label: the w rows before it, all values finite; cut from chunks where it is read."""
+    pieces = sequence_chunks(df, target, w, stride, cap, cols, chunk)
+    each = pieces.select(*SERIES, "rows", F.explode("windows").alias("v"))
+    return each.select(*SERIES, "v.hour_ts", F.slice("rows", F.col("v.offset") + 1, F.lit(w)).alias("sequence"), "v.label")
 
 
 def bridge(df: DataFrame, keys: list[str], ts: str) -> DataFrame:

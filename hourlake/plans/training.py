@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     FMRegressor,
@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from hourlake.functions.models import default_ids, quality_label
+from hourlake.functions.models import default_ids, model_status, quality_label
 from hourlake.operators import evaluation, forecast
-from hourlake.operators.features import SERIES, SHORT
+from hourlake.operators.features import SERIES, SHORT, numbered_rows, series_window
 from hourlake.operators.ranking import keep_first
 from hourlake.operators.tables import union_rows
-from hourlake.session import cut_lineage, exists
+from hourlake.plans.exported import export
+from hourlake.session import exists
 
 # fixed values: model inputs
 VALUES = ["temperature", "humidity", "meteostat_temperature", "meteostat_humidity"]
@@ -278,38 +279,46 @@ def direct_forecast(model: PipelineModel, features: DataFrame, horizon: int) ->
     )
 
 
-def _step_features(step: int, start: Column) -> dict[str, Column]:
-    """Model inputs of one step from the value tails; short tails use the newest value, empty ones 0 (their prediction is not used)."""
-    ts = F.timestamp_seconds(F.unix_seconds(start) + (step - 1) * 3600)
-    out: dict[str, Column] = {}
+def step_inputs(names: list[str], tails: dict[str, np.ndarray], sizes: dict[str, np.ndarray], reference: dict[str, np.ndarray], hour: pd.Timestamp) -> np.ndarray:
+    """Model inputs of all series at one hour, from value tails that end with the newest.
+
+    Short tails use the newest value for a lag; what is still missing counts as 0 (the
+    predictions of such series are not used).
+    """
+    out = {}
     for m, s in SHORT.items():
-        tail = F.col(f"_{m}")
-        n = F.size(tail)
-        newest = F.try_element_at(tail, F.lit(-1))
+        tail, n = tails[m], sizes[m]
+        newest = tail[:, -1]
         out[m] = newest
-        out[f"meteostat_{m}"] = F.coalesce(F.col(f"_last_{m}"), newest)
+        out[f"meteostat_{m}"] = np.where(np.isnan(reference[m]), newest, reference[m])
         for k in (1, 6, 12, 24):
-            out[f"{s}_lag_{k}"] = F.when(n >= k, F.element_at(tail, -k)).otherwise(newest)
+            out[f"{s}_lag_{k}"] = np.where(n >= k, tail[:, -k], newest)
         for k in (24, 168):
-            part = F.slice(tail, F.greatest(F.lit(1), n - (k - 1)), F.lit(k))
-            out[f"{s}_rolling_{k}"] = F.try_divide(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), F.size(part))
-    out = {c: F.coalesce(v, F.lit(0.0)) for c, v in out.items()}
-    h, d, mo = F.hour(ts), F.dayofweek(ts), F.month(ts)
-    for c, v, period in (("hour", h, 24), ("day_of_week", d, 7), ("month", mo, 12)):
-        out[c] = v.cast("double")
-        angle = v * F.lit(2.0 * np.pi / period)
-        out[f"{c}_sin"], out[f"{c}_cos"] = F.sin(angle), F.cos(angle)
-    return out
+            out[f"{s}_rolling_{k}"] = np.nansum(tail[:, -k:], axis=1) / np.maximum(1, np.minimum(n, k))
+    for part, value, period in (("hour", hour.hour, 24), ("day_of_week", hour.isoweekday() % 7 + 1, 7), ("month", hour.month, 12)):
+        angle = 2 * np.pi * value / period
+        rows = np.ones(len(newest))
+        out[part], out[f"{part}_sin"], out[f"{part}_cos"] = rows * value, rows * np.sin(angle), rows * np.cos(angle)
+    return np.nan_to_num(np.column_stack([out[c] for c in names]), nan=0.0)
+
+
+def _tail_matrix(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of at most TAIL values as rows that end with the newest, and their lengths."""
+    out, sizes = np.full((len(lists), TAIL), np.nan), np.zeros(len(lists), int)
+    for i, values in enumerate(lists):
+        sizes[i] = len(values)
+        if len(values):
+            out[i, TAIL - len(values):] = values
+    return out, sizes
 
 
 def recursive_forecast(model: PipelineModel, history: DataFrame, target: str, horizon: int, as_of: Column,
-                       every: int = 4) -> DataFrame:
-    """One-step model rolled forward for all series together.
+                       name: str = "Spark Linear Regression", model_type: str = "spark_mllib") -> DataFrame:
+    """One-step model rolled forward for all series, in one narrow pass over series rows.
 
-    Each series is one row holding its last 168 values, so a step is one
-    `transform` over all series. The other metric advances by its fallback
-    forecast. Series with under 24 values of either metric take their fallback throughout,
-    NULL where they have no value of the target at all.
+    The model (linear, trees or factors) goes along as arrays. The other metric advances by its
+    fallback forecast. Series with under 24 values of either metric take their fallback
+    throughout, NULL where they have no value of the target at all.
     """
     other = "humidity" if target == "temperature" else "temperature"
     keys = [*SERIES, "province_id"]
@@ -325,43 +334,57 @@ def recursive_forecast(model: PipelineModel, history: DataFrame, target: str, ho
     for part in (side(target), side(other), path(target, "_own"), path(other, "_ahead"), ref):
         part = part.withColumnsRenamed({k: f"_k_{k}" for k in keys})
         state = state.join(part, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
-    state = state.withColumns({f"_{m}": F.coalesce(f"_{m}", F.array().cast("array<double>")) for m in (target, other)})
-    enough = (F.size(f"_{target}") >= forecast.MINIMUM) & (F.size(f"_{other}") >= forecast.MINIMUM)
-    # ids never change along the way, so they are indexed once
-    fixed = [m for m in model.stages if isinstance(m, StringIndexerModel)]
-    model = PipelineModel(stages=[m for m in model.stages if m not in fixed])
-    state = PipelineModel(stages=fixed).transform(state)
-    state = cut_lineage(state.withColumns({"_enough": enough, "_preds": F.array().cast("array<double>")}))
-    kept = state.columns
     start = F.timestamp_seconds(F.unix_seconds(F.date_trunc("hour", as_of)) + 3600)
-    push = lambda m, v: F.slice(F.concat(F.col(m), F.array(v)), F.greatest(F.lit(1), F.size(m) + 2 - TAIL), F.lit(TAIL))
-    for step in range(1, horizon + 1):
-        state = model.transform(state.withColumns(_step_features(step, start)))
-        pred = F.when(F.col("_enough"), F.col("prediction")).otherwise(F.element_at("_own", step))
-        state = state.withColumn("_p", pred).withColumns({
-            f"_{target}": push(f"_{target}", F.col("_p")),
-            f"_{other}": push(f"_{other}", F.element_at("_ahead", step)),
-            "_preds": F.concat("_preds", F.array("_p")),
-        }).select(kept)
-        if step % every == 0 and step < horizon:
-            state = cut_lineage(state)
-    status = F.when(F.col("_enough"), "trained").otherwise("insufficient_data").alias("model_status")
-    rows = state.select(*keys, status, F.posexplode("_preds").alias("_i", "base_forecast_value"))
-    return rows.select(
+    empty = F.array().cast("array<double>")
+    state = state.withColumns({"_start": start, **{f"_{m}": F.coalesce(f"_{m}", empty) for m in (target, other)}})
+    flat = export(model)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            tails, sizes = {}, {}
+            for m in (target, other):
+                tails[m], sizes[m] = _tail_matrix(pdf[f"_{m}"])
+            enough = (sizes[target] >= forecast.MINIMUM) & (sizes[other] >= forecast.MINIMUM)
+            own, aside = (np.array([np.asarray(x, float) if x is not None else np.full(horizon, np.nan) for x in pdf[c]]) for c in ("_own", "_ahead"))
+            reference = {m: pdf[f"_last_{m}"].to_numpy(float) for m in SHORT}
+            ids = np.column_stack([flat.indexed(c, pdf[c]) for c in flat.labels])
+            begin, out = pdf["_start"].iloc[0], np.empty((len(pdf), horizon))
+            for step in range(horizon):
+                x = step_inputs(flat.numeric, tails, sizes, reference, begin + pd.Timedelta(hours=step))
+                out[:, step] = np.where(enough, flat.predict(x, ids), own[:, step])
+                for m, new in ((target, out[:, step]), (other, aside[:, step])):
+                    tails[m] = np.hstack((tails[m][:, 1:], new[:, None]))
+                    sizes[m] = np.minimum(sizes[m] + 1, TAIL)
+            paths = [[None if np.isnan(v) else v for v in row] for row in out.tolist()]
+            yield pdf[keys].assign(enough=enough, path=paths)
+
+    schema = "location_id string, device_id string, province_id string, enough boolean, path array<double>"
+    rolled = state.mapInPandas(run, schema).withColumn("_start", start)
+    status = F.when(F.col("enough"), model_status(F.lit(name), F.lit(model_type))).otherwise("insufficient_data")
+    return rolled.select(*keys, "_start", status.alias("model_status"), F.posexplode("path").alias("_i", "base_forecast_value")).select(
         *keys, F.lit(target).alias("metric_type"), (F.col("_i") + 1).alias("horizon_step"),
-        F.timestamp_seconds(F.unix_seconds(start) + F.col("_i") * 3600).alias("forecast_timestamp"), "base_forecast_value", "model_status",
+        F.timestamp_seconds(F.unix_seconds("_start") + F.col("_i") * 3600).alias("forecast_timestamp"), "base_forecast_value", "model_status",
     )
 
 
-def sequence_split(seqs: DataFrame, ratio: float = 0.2) -> DataFrame:
-    """Chronological split of sequences by their label time."""
-    return evaluation.mark_split(seqs, "hour_ts", ratio)
-
+def sequence_stats(df: DataFrame, target: str, w: int, ratio: float = 0.2, floor: float = 1e-6, names=VALUES) -> DataFrame:
+    """Mean and variance per input over all training windows, without building one.
 
-def sequence_stats(train: DataFrame, floor: float = 1e-6, names=VALUES) -> DataFrame:
-    """Mean and variance per input of the training sequences."""
-    steps = train.select(F.explode("sequence").alias("s"))
-    values = steps.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("feature"), F.col("s")[i].cast("double").alias("x")) for i, n in enumerate(names)])))
-    return values.groupBy("feature").agg(
-        F.avg("x").alias("mean"), F.greatest(F.var_pop("x"), F.lit(floor)).alias("variance"))
+    A row stands in as many training windows as there are training labels among the w rows
+    after it: a difference of two running counts. Labels before the split time train.
+    """
+    rows = numbered_rows(df, target, w, names)
+    split = evaluation.split_ts_exact(rows.where("is_label"), "hour_ts", ratio).scalar()
+    rows = rows.withColumn("_before", F.sum((F.col("is_label") & (F.col("hour_ts") < split)).cast("long")).over(series_window()))
+    along = series_window()
+    times = F.coalesce(F.lead("_before", w).over(along), F.max("_before").over(Window.partitionBy(*SERIES))) - F.col("_before")
+    weighted = rows.withColumn("_m", times).where("_m > 0").select("_m", F.posexplode("x").alias("_i", "_x"))
+    x = F.col("_x").cast("double")
+    sums = weighted.groupBy("_i").agg(F.sum("_m").alias("n"), F.sum(F.col("_m") * x).alias("s"), F.sum(F.col("_m") * x * x).alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1).alias("feature"), mean.alias("mean"),
+        F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(floor)).alias("variance"),
+    )
