@@ -101,6 +101,14 @@ def k9(v):
     return rounded(tables.cluster(v.reference, ["location_id", "event_ts"]).select("location_id", "event_ts", "temperature_c"))
 
 
+@query("k9_zorder", f"SELECT location_id, event_ts, {r('temperature_c')} AS temperature_c FROM reference")
+def k9z(v):
+    """Written in Z-order of place and time, and read again."""
+    path = f"{shared_dir(v.spark)}/zorder-{uuid.uuid4().hex}"
+    tables.zorder_write(v.reference, ["location_id", "event_ts"], path)
+    return rounded(v.spark.read.parquet(path).select("location_id", "event_ts", "temperature_c"))
+
+
 @query("k10_retain", f"SELECT id, event_ts FROM metrics WHERE event_ts >= {SQL_AS_OF} - INTERVAL 15 DAY")
 def k10(v):
     return tables.retain(v.metrics, "event_ts", 15, as_of()).select("id", "event_ts")

@@ -10,7 +10,7 @@ from hourlake.functions import when
 from hourlake.operators import matching, quality, rollup, tables
 from hourlake.operators.spacing import NONE, _replay
 from hourlake.operators.ranking import keep_first, newest
-from hourlake.session import exists, remove
+from hourlake.session import cut_lineage, exists, remove
 from hourlake.sources.payloads import parse_sensor_json
 
 WIDE_METRICS = {"temperature": "temperature_unit", "humidity": "humidity_unit"}
@@ -141,30 +141,52 @@ def actuator_stream(stream: DataFrame, key: str, ts: str, tie: str) -> DataFrame
     )
 
 
-def latest_state_sink(lake_path: str, keys: list[str], ts: str, ties: list[str]):
-    """foreachBatch writer keeping the newest row per key in a versioned table.
+def _newest_buckets(every: DataFrame) -> DataFrame:
+    """Rows of the last version of each bucket; other versions' files are not read."""
+    last = every.groupBy("bucket").agg(F.max("version").alias("_v")).withColumnRenamed("bucket", "_b")
+    return every.join(last, (F.col("bucket") == F.col("_b")) & (F.col("version") == F.col("_v"))).drop("_b", "_v")
 
-    A repeated batch writes its version again from the one before, so the outcome is the same.
-    The version before stays for readers that have begun; older ones are removed.
+
+def latest_state_sink(lake_path: str, keys: list[str], ts: str, ties: list[str], buckets: int = 64):
+    """foreachBatch writer keeping the newest row per key, in buckets of keys.
+
+    A batch writes new versions of the buckets its keys fall into; others stay as they are, so
+    what is written follows the batch and not the table. A repeated batch writes its versions
+    again from the ones before, so the outcome is the same. The version before stays for
+    readers that have begun; older ones of the touched buckets are removed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = keep_first(batch, keys, newest(ts, *ties))
-        if exists(spark, f"{lake_path}/version={batch_id - 1}"):
-            old = spark.read.parquet(f"{lake_path}/version={batch_id - 1}")
-            new = keep_first(old.unionByName(new), keys, newest(ts, *ties))
-        elif batch_id:
-            raise ValueError(f"version {batch_id - 1} of {lake_path} is gone")
-        tables.write_table(new, f"{lake_path}/version={batch_id}")
-        if batch_id > 1:
-            remove(spark, f"{lake_path}/version={batch_id - 2}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = cut_lineage(keep_first(batch, keys, newest(ts, *ties)).withColumn("bucket", bucket))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        before = [v for v in versions(spark, lake_path) if v < batch_id]
+        if before:
+            every = spark.read.option("basePath", lake_path).parquet(*[f"{lake_path}/version={v}" for v in before])
+            old = _newest_buckets(every.where(F.col("bucket").isin(touched)))
+            new = keep_first(old.select(new.columns).unionByName(new), keys, newest(ts, *ties))
+        new.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{lake_path}/version={batch_id}")
+        for b in touched:
+            for v in [v for v in before if exists(spark, f"{lake_path}/version={v}/bucket={b}")][:-1]:
+                remove(spark, f"{lake_path}/version={v}/bucket={b}")
+        for v in before:
+            if not exists(spark, f"{lake_path}/version={v}/bucket=*"):
+                remove(spark, f"{lake_path}/version={v}")
 
     return write
 
 
+def versions(spark, lake_path: str) -> list[int]:
+    """Finished versions, oldest first."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{lake_path}/version=*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def newest_version(spark, lake_path: str) -> DataFrame:
-    """The last version that a sink has written."""
-    every = spark.read.parquet(lake_path)
-    last = every.agg(F.max("version").alias("v"))
-    return every.where(F.col("version") == last.scalar()).drop("version")
+    """The table as the last finished batch has left it."""
+    every = spark.read.option("basePath", lake_path).parquet(*[f"{lake_path}/version={v}" for v in versions(spark, lake_path)])
+    return _newest_buckets(every).drop("version", "bucket")

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from hourlake.operators import forecast, spacing, stations
+from hourlake.operators import forecast, spacing, stations, tables
 from hourlake.plans import training
 from hourlake.streaming import flows
 
@@ -79,3 +79,47 @@ def test_spread_ranks_are_plain_ranks(spark):
     order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
     got = ranking.spread_rank(df, ["k"], order).collect()
     assert sorted(map(str, got)) == sorted(map(str, ranking.with_rank(df, ["k"], order).collect()))
+
+
+def test_zorder_skips_by_either_column(spark, tmp_path):
+    """A filter on place or on time leaves most row groups unread, and no row is lost."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(40_000).selectExpr(
+        "concat('loc_', lpad(cast(pmod(hash(id), 200) as string), 3, '0')) AS location_id", "timestamp_seconds(1700000000 + pmod(hash(id, 3), 8000000)) AS event_ts", "id")
+    tables.zorder_write(rows, ["location_id", "event_ts"], str(tmp_path / "z"), files=64)
+    assert spark.read.parquet(str(tmp_path / "z")).exceptAll(rows).isEmpty() and spark.read.parquet(str(tmp_path / "z")).count() == 40_000
+    groups = []
+    for f in sorted((tmp_path / "z").glob("*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(3)}
+            groups.append(cols)
+    place = sum(c["location_id"].min <= "loc_077" <= c["location_id"].max for c in groups)
+    ids = spark.read.parquet(str(tmp_path / "z")).selectExpr("input_file_name() AS f", "event_ts").groupBy("f").agg(F.min("event_ts").alias("a"), F.max("event_ts").alias("b"))
+    when = ids.where("timestamp_seconds(1702000000) BETWEEN a AND b").count()
+    assert len(groups) >= 40 and 0 < place <= len(groups) / 3 and 0 < when <= len(groups) / 3
+
+
+def test_zorder_of_empty_and_null_columns(spark):
+    empty = spark.createDataFrame([], "a string, b int")
+    assert tables.zorder(empty, ["a", "b"]).count() == 0
+    rows = spark.createDataFrame([(None, 1), ("x", None), (None, None), ("y", 2)], "a string, b int")
+    assert sorted(map(str, tables.zorder(rows, ["a", "b"], files=2).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_latest_state_writes_touched_buckets_only(spark, tmp_path):
+    """A batch of one key writes one bucket; the same batch again changes nothing."""
+    path = str(tmp_path / "t")
+    sink = flows.latest_state_sink(path, ["sensor_id"], "event_ts", ["id"])
+    row = "concat('s', cast(id AS string)) AS sensor_id", "timestamp_seconds(id) AS event_ts", "id"
+    sink(spark.range(500).selectExpr(*row), 0)
+    one = spark.createDataFrame([("s7", 9_999)], "sensor_id string, id long").selectExpr("sensor_id", "timestamp_seconds(id) AS event_ts", "id")
+    for _ in range(2):
+        sink(one, 1)
+        assert len(list((tmp_path / "t/version=1").glob("bucket=*"))) == 1
+        got = {r.sensor_id: r.id for r in flows.newest_version(spark, path).collect()}
+        assert len(got) == 500 and got["s7"] == 9_999 and got["s8"] == 8
+    sink(spark.createDataFrame([("new", 1)], "sensor_id string, id long").selectExpr("sensor_id", "timestamp_seconds(id) AS event_ts", "id"), 2)
+    sink(one.limit(0), 3)
+    assert flows.newest_version(spark, path).count() == 501
