@@ -23,7 +23,8 @@ def m1(v):
 
     df = frame(v)  # with its gaps: medians fill them
     out = Pipeline(stages=training.preprocess_stages()).fit(df).transform(df)
-    return out.select("location_id", "device_id", "hour_ts", F.size(vector_to_array("features")).alias("inputs"))
+    scaled = F.transform(vector_to_array("features"), lambda x: F.round(x, 6) + 0.0)
+    return out.select("location_id", "device_id", "hour_ts", scaled.alias("inputs"))
 
 
 @query("m2_model_specs")

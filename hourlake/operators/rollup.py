@@ -115,8 +115,11 @@ def chart_rollup(actual: DataFrame, forecast: DataFrame, keys: list[str], grain:
     lo, hi = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
 
     def side(df, ts, names):
-        local = when.as_ts(ts) + F.expr(f"INTERVAL {int(shift_hours)} HOURS")
-        inside = df.withColumn("_local", local).where(F.to_date("_local").between(lo, hi))
+        shift = F.expr(f"INTERVAL {int(shift_hours)} HOURS")
+        # bounds on the plain column, so that the scan can skip other days
+        at = F.col(ts) if df.schema[ts].dataType.simpleString().startswith("timestamp") else when.as_ts(ts)
+        after, until = lo.cast("timestamp") - shift, F.date_add(hi, 1).cast("timestamp") - shift
+        inside = df.where((at >= after) & (at < until)).withColumn("_local", at + shift)
         return inside.groupBy(*keys, F.date_trunc(grain, "_local").alias("bucket_ts")).agg(
             *[F.avg(c).alias(n) for c, n in names.items()]
         )

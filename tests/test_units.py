@@ -303,7 +303,7 @@ def test_recursive_forecast_keeps_series_without_a_metric(spark):
     got = training.recursive_forecast(model, hist, "temperature", H, F.lit(at(3600 * n))).collect()
     assert sorted((r.device_id, r.horizon_step) for r in got) == sorted((d, k) for d in value for k in (1, 2))
     state = {r.device_id: (r.model_status, r.base_forecast_value is None) for r in got}
-    assert state == {"both": ("trained", False), "free": ("trained", False), "dry": ("insufficient_data", False),
+    assert state == {"both": ("trained_spark_mllib", False), "free": ("trained_spark_mllib", False), "dry": ("insufficient_data", False),
                      "cold": ("insufficient_data", True), "none": ("insufficient_data", True)}
     want = {(r.device_id, r.horizon_step): r.base_forecast_value for r in forecast.fallback_forecast(hist, ["device_id"], H).where("metric_type = 'temperature'").collect()}
     assert all(r.base_forecast_value == want[r.device_id, r.horizon_step] for r in got if r.device_id in ("dry", "cold", "none"))
