@@ -54,8 +54,9 @@ ORACLES["op5_hierarchical_mixing"] = mixing.sql(*MIX)
 
 @query
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and the verdict of the compression bands, for every document."""
-    return compression.judge(table(spark, sf_dir, "documents"))
+    """Base counts and the verdict of the compression bands, for every document; limits learned from three quarters of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return compression.judge(docs, compression.fit(docs, table(spark, sf_dir, "labels")))
 
 
 @query

@@ -1,10 +1,13 @@
 """Exact dedup and mixing against plain Python, compression bands against the definitions."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -96,6 +99,56 @@ def test_bands_reject_random_letters_and_half_junk():
     assert compression.in_bands(korean.encode(), tool)[0]
 
 
+def test_learned_limits_against_plain_lines(spark):
+    """kept of every row, with limits learned from labels, equals a plain least-squares line per cell; junk that the base passes falls."""
+    r = random.Random(2)
+    good = [(i, data.prose(i, r.randint(120, 900))) for i in range(160)]
+    marked = [(1000 + i, " ".join(w + r.choice(("%%%", "&&&", "###")) for w in data.prose(500 + i, r.randint(150, 900)).split())) for i in range(30)]
+    rows = [*good, *marked, (2000, None), (2001, ""), (3000, good[0][1]), (3000, good[0][1]), (None, good[1][1])]
+    docs = spark.createDataFrame([(*x, True) for x in rows], "doc_id long, text string, kept boolean").repartition(5)
+    pairs = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in marked] + [(7, 0), (None, 1), (9, None), (11, 1)]
+    labels = spark.createDataFrame([(*p, 0) for p in pairs], "doc_id long, quality int, text int")
+    limits = compression.fit(docs, labels)
+    tool, points = zstandard.ZstdCompressor(level=compression.LEVEL), {}
+    for i, text in good:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and i not in (7, 9) and brute_counts(text)[0] >= 50:
+            whole, chunks = compression.compressed_shares(text.encode(), tool)
+            for is_whole, part, share in [(True, text.encode(), whole), *[(False, *c) for c in chunks]]:
+                several = sum(b > 127 for b in part) / len(part)
+                points.setdefault((is_whole, int(2 * math.log2(len(part))), int(4 * several)), []).append((math.log2(len(part)), share))
+    points = {k: v for k, v in points.items() if len(v) >= compression.ENOUGH}
+    assert set(limits) == set(points) and len(points) >= 3
+    for key, found in points.items():
+        x, y = np.array(found).T
+        slope, start = np.polyfit(x, y, 1) if np.ptp(x) > 1e-6 else (0.0, y.mean())
+        depth = (3.0 if key[0] else 2.5) * float(np.sqrt(np.mean((y - start - slope * x) ** 2)))
+        assert np.allclose(limits[key], (start, slope, depth), atol=1e-6)
+    got = Counter((x.doc_id, x.kept) for x in compression.judge(docs, limits).collect())
+    want = Counter()
+    for i, text in rows:
+        data_ = (text or "").encode()
+        keep = bool(data_) and not (lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0])(brute_counts(text))
+        if keep:
+            whole, chunks = compression.compressed_shares(data_, tool)
+            out = [outside(p, s, compression.CHUNKS, False, limits) for p, s in chunks]
+            bad, noisy = sum(o != 0 for o in out), sum(o > 0 for o in out)
+            keep = outside(data_, whole, compression.WHOLE, True, limits) == 0 and 2 * bad <= len(out) and 4 * noisy <= len(out)
+        want[i, keep] += 1
+    assert got == want
+    assert sum(n for (i, k), n in got.items() if k and i is not None and i < 1000) >= 155
+    assert sum(n for (i, k), n in got.items() if not k and i is not None and 1000 <= i < 2000) >= 25
+    assert compression.fit(docs, labels.limit(0)) == {} == compression.fit(docs.limit(0), labels)
+
+
+def outside(part, share, bands, is_whole, limits):
+    below, least, most = next(b for b in bands if len(part) < b[0])
+    several = sum(b > 127 for b in part) / len(part)
+    line = limits.get((is_whole, int(2 * math.log2(len(part))), int(4 * several)))
+    if line:
+        least = max(least, line[0] + line[1] * math.log2(len(part)) - line[2])
+    return 1 if share > most + compression.ROOM * several else -1 if share < least else 0
+
+
 def test_good_rows_stay_unchanged(docs):
     kept = compression.keep_good(docs)
     assert kept.columns == docs.columns
