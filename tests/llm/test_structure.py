@@ -265,7 +265,7 @@ def plain_spans(texts):
         text = text or ""
         hits = list(re.finditer(pii.CANDIDATE, text, re.ASCII))
         for k, m in enumerate(hits):
-            v = re.sub(pii.HEAD, "", m.group())
+            v = re.sub(pii.HEAD, "", m.group(), count=1)
             start = m.end() - len(v)
             v = re.sub(pii.TAIL, "", v)
             if not v:
@@ -360,10 +360,14 @@ def test_personal_data(spark, docs, tmp_path):
     assert pii.find(data.empty(spark)).count() == 0
 
 
+LABELS = "doc_id long, quality int, toxic int"
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     rows = docs
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, None, None)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, rows, "")
+        out = stage(spark, rows, str(tmp_path))
         assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / name))
         new = spark.read.parquet(str(tmp_path / name))
@@ -372,9 +376,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert new.count() == brute_near(rows.collect())[1]
         rows = new
     assert rows.count() > 20
-    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == rows.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() == rows.count()
 
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     data.empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
