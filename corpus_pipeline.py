@@ -16,8 +16,8 @@ from hourlake.llm.common import folder, stored, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules (6): documents that fail the base or the compression bands go."""
-    return compression.keep_good(docs)
+    """Quality rules (6): documents that fail the base or the compression bands go; lower limits are learned from `labels`."""
+    return compression.keep_good(docs, compression.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
