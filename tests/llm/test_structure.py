@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -194,23 +195,21 @@ def test_line_templates(spark, tmp_path):
     assert line_templates.decisions(data.empty(spark)).count() == 0
 
 
-def test_large_leaves_are_divided(spark, tmp_path):
-    """Many templates behind one start; the tree grows by more leading words and finds them all."""
+def test_many_templates_behind_one_start(spark, tmp_path):
+    """A field's words are in more lines of the leaf than the words of any one template; views tell them apart."""
     line = lambda k, i: f"all of them word{chr(97 + k)} {chr(97 + k) * 4} end of field{chr(97 + i)} line {k * i}"
     texts = [(i, "\n".join([line(k, i) for k in range(20)] + [f"all of them {' '.join(data.words(i, 7))}"])) for i in range(12)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    got = line_templates.decisions(spark.read.parquet(str(tmp_path / "d")), limit=30).collect()
+    got = line_templates.decisions(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert [r.dropped for r in got] == [",".join(map(str, range(20)))] * 12
 
 
-def test_field_right_after_the_leading_words_of_a_large_leaf(spark, tmp_path):
-    """The names stand in the words that follow the leaf's key, each in one text; the leaf is larger than its limit."""
+def test_field_right_after_the_leading_words(spark, tmp_path):
+    """The names stand in the words that follow the leaf's key, each in one text."""
     names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) + "son" for i in range(400)]
     texts = [(i, f"{data.prose(i, 24)}\nPosted in category by {x}\nwas written by {x}") for i, x in enumerate(names)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    for limit in (20_000, 30):
-        assert {r.dropped for r in line_templates.decisions(docs, limit=limit).collect()} == {"2,3"}, limit
+    assert {r.dropped for r in line_templates.decisions(spark.read.parquet(str(tmp_path / "d"))).collect()} == {"2,3"}
 
 
 def test_short_lines_of_the_query(spark, tmp_path):
@@ -222,13 +221,74 @@ def test_short_lines_of_the_query(spark, tmp_path):
     assert got == {i: "2,4" for i in range(12)} | {50: "0", 51: ""}
 
 
-def test_clusters_by_segments_are_those_of_all_templates(monkeypatch):
-    r = np.random.default_rng(3)
-    lines = np.hstack((np.tile([7, 8, 9], (3000, 1)), r.integers(0, 3, (3000, 6)) * 11 + r.integers(0, 2, (3000, 6)))).astype(np.uint16)
-    by_segments = line_templates.cluster(lines, 0.75, 3)
-    monkeypatch.setattr(line_templates, "FEW", 10_000)
-    want = line_templates.cluster(lines, 0.75, 3)
-    assert len(want[1]) > 64 and all((a == b).all() for a, b in zip(by_segments, want, strict=True))
+def plain_templates(texts: list[str], least: int, often: int = 10) -> list[str]:
+    """Dropped lines of each text, from the definition of weights, templates and views, by loops over words."""
+    words, where, times = {}, {}, {}
+    for t in texts:
+        for line in t.split("\n"):
+            w = line.split()
+            if len(w) >= 4:
+                w = ["<*>" if any(c.isdigit() for c in x) else x for x in w]
+            if len(w) >= max(least, 1):
+                key = words[line] = tuple(w)
+                where.setdefault(key, set()).add(t)
+                times[key] = times.get(key, 0) + 1
+
+    def found(seen: list[tuple]) -> tuple[set, set]:
+        """Lines with templates and lines with recurring ones, of (line, view) pairs."""
+        weight, templates, held = {}, set(), {}
+        for line, view in seen:
+            for p in range(len(line)):
+                weight[view, p, line[p]] = weight.get((view, p, line[p]), 0) + times[line]
+        for line, view in seen:
+            lead = min(3, len(line))
+            total = sum(times[x] for x in by_view[view])
+            ws = [total if p < lead else weight[view, p, x] for p, x in enumerate(line)]
+            need = len(line) if len(line) < 4 else math.ceil(0.75 * len(line))
+            for level in {w for w in ws if w >= often}:
+                stay = tuple(x if w >= level else None for x, w in zip(line, ws, strict=True))
+                if len(line) - stay.count(None) >= need:
+                    templates.add((line, view, stay))
+                    held.setdefault((view, stay), set()).update(where[line])
+        return {x for x, *_ in templates}, {x for x, *t in templates if len(held[tuple(t)]) >= often}
+
+    def pairs(views) -> list[tuple]:
+        by_view.clear()
+        for line, view in views:
+            by_view.setdefault(view, []).append(line)
+        return [(x, view) for view, lines in by_view.items() if sum(times[y] for y in lines) >= often for x in lines]
+
+    by_view: dict = {}
+    some, out = found(pairs((x, (len(x), x[:3])) for x in where))
+    views = []
+    for x in some - out:
+        parts = max(1, min(8, len(x) - math.ceil(0.75 * len(x)) + 1, len(x) - 3))
+        for part in range(parts if len(x) > 3 else 0):
+            mine = [p for p in range(3, len(x)) if (p - 3) * parts // (len(x) - 3) == part]
+            views.append((x, (len(x), x[:3], part, tuple(x[p] for p in mine))))
+    out |= found(pairs(views))[1]
+    return [",".join(str(k) for k, x in enumerate(t.split("\n")) if words.get(x) in out) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_template_query_by_brute_force(spark, tmp_path, seed, monkeypatch):
+    """Overlapping random templates of all lengths; the same rows whether words are joined by a broadcast or a shuffle."""
+    r = random.Random(seed)
+    frames = [[r.choice("abcdefgh") for _ in range(r.choice((1, 2, 3, 4, 5, 6, 9, 13)))] for _ in range(30)]
+    def line():
+        w = ["x", "y", "z"][: r.randint(0, 3)] + list(r.choice(frames))
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            w[r.randrange(len(w))] = r.choice("abcdefgh") * r.randint(1, 2) + r.choice(("", "", "7"))
+        return " ".join(w)
+    texts = ["\n".join(line() for _ in range(r.randint(1, 12))) for _ in range(250)] + ["", "\n\n", "a b c\na b c"] + ["x y z a b"] * 12
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = plain_templates(texts, 1)
+    for hot in (line_templates.HOT, 1.0, 0.0):
+        monkeypatch.setattr(line_templates, "HOT", hot)
+        got = {x.doc_id: x.dropped for x in QUERIES["op1_template_line_dedup"](spark, str(tmp_path)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 100 and "" in want[:250]
 
 
 RAW = {
