@@ -1,18 +1,23 @@
 """Streaming flows. Stateful ones keep one small value per key, so state grows with
 the number of sensors, not with the number of messages."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hourlake.functions import when
 from hourlake.operators import matching, quality, rollup, tables
 from hourlake.operators.spacing import NONE, _replay
 from hourlake.operators.ranking import keep_first, newest
+from hourlake.operators.state import FAN_ON, FOG_OFF, FOG_ON, LAMP_ON
 from hourlake.session import cut_lineage, exists, remove
 from hourlake.sources.payloads import parse_sensor_json
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WIDE_METRICS = {"temperature": "temperature_unit", "humidity": "humidity_unit"}
 
 
@@ -68,57 +73,110 @@ def bronze_sink(out: str, at: Column):
     return write
 
 
-def drop_stale_stream(stream: DataFrame, key: str, seq: str, ts: str) -> DataFrame:
-    """Stream twin of drop_stale: state = newest time seen per source."""
-    out_cols = stream.columns
+def keyed(stream: DataFrame, keys: list[str], processor: "InOrder", schema) -> DataFrame:
+    """Rows that a processor makes of each key's rows, with its state in the session's RocksDB store.
+
+    This state API has no other store, so the session is set to it unless its user has chosen one.
+    """
+    conf = stream.sparkSession.conf
+    if "HDFSBacked" in conf.get(STORE):  # Spark's default
+        conf.set(STORE, ROCKSDB)
+    # with processing time Spark plans empty batches for ever, so only states that expire ask for it
+    mode = "None" if processor.forget is None else "ProcessingTime"
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", mode)
+
+
+class InOrder(StatefulProcessor):
+    """One value per key, and the rows of a micro-batch taken in order.
+
+    Only the columns that decide are put together and sorted; frames go out one by one, as they
+    came. What a key holds at once is its part of one micro-batch, which the source's rate limit
+    bounds. The state of a key that is silent for `forget` seconds is dropped; it then begins anew.
+    A stream that forgets ends on an `availableNow` trigger only where
+    spark.sql.streaming.noDataMicroBatches.enabled is false.
+    """
+
+    state_schema: str
+
+    def __init__(self, order: list[str], uses: list[str], forget: float | None):
+        self.order, self.uses, self.forget = order, uses, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", self.state_schema, None if self.forget is None else int(self.forget * 1000))
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        narrow = pd.concat([f[list(dict.fromkeys([*self.order, *self.uses]))] for f in frames], ignore_index=True)
+        done, state = self.step(narrow.sort_values(self.order), self.value.get() if self.value.exists() else None)
+        self.value.update(state)
+        done, at = done.sort_index(), 0
+        for f in frames:
+            out = self.emit(f, done.iloc[at : at + len(f)])
+            at += len(f)
+            if len(out):
+                yield out
+
+    def step(self, rows: pd.DataFrame, state: tuple | None):
+        """What became of each row (by the index of `rows`), and the state after them."""
+        raise NotImplementedError
+
+    def emit(self, frame: pd.DataFrame, done) -> pd.DataFrame:
+        return frame[done.to_numpy()]
+
+
+def micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64").where(times.notna(), NONE)
+
+
+class Fresh(InOrder):
+    """Rows without a time, or newer than all before."""
+
+    state_schema = "top bigint"
+
+    def __init__(self, seq: str, ts: str, forget: float | None):
+        super().__init__([seq], [ts], forget)
+        self.ts = ts
 
-    def step(k, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(seq)
-        top = state.get[0] if state.exists else NONE
-        us = rows[ts].astype("datetime64[us]").astype("int64").where(rows[ts].notna(), NONE)
+    def step(self, rows, state):
+        top = state[0] if state else NONE
+        us = micros(rows[self.ts])
         before = us.cummax().shift(1, fill_value=NONE).clip(lower=top)
-        keep = rows[ts].isna() | (us > before)
-        state.update((max(top, int(us.max())),))
-        if keep.any():
-            yield rows[keep][out_cols]
+        return rows[self.ts].isna() | (us > before), (max(top, int(us.max())),)
 
-    return stream.groupBy(key).applyInPandasWithState(
-        step, stream.schema, "top bigint", "append", GroupStateTimeout.NoTimeout
-    )
 
+class Spaced(InOrder):
+    """Alerts at least so long after the last one that fired."""
 
-def cooldown_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, status: str = "status",
-                    seconds: float = 60.0) -> DataFrame:
-    """Stream twin of apply_cooldown: state = time of the last fired alert."""
-    gap = int(round(seconds * 1e6))
-    out_cols = stream.columns
-
-    def step(k, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values([ts, tie])
-        t = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
-        kind = rows[status].notna().astype("int64").to_numpy()
-        fired, last = _replay(t, kind, state.get[0] if state.exists else NONE, gap)
-        state.update((last,))
-        if fired:
-            yield rows.iloc[fired][out_cols]
-
-    return stream.groupBy(*keys).applyInPandasWithState(
-        step, stream.schema, "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    state_schema = "last bigint"
 
+    def __init__(self, ts: str, tie: str, status: str, gap: int, forget: float | None):
+        super().__init__([ts, tie], [status], forget)
+        self.ts, self.status, self.gap = ts, status, gap
 
-def actuator_stream(stream: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """Stream twin of actuator_with_commands: state = mode and three switches."""
-    from pyspark.sql import types as T
+    def step(self, rows, state):
+        kind = rows[self.status].notna().astype("int64").to_numpy()
+        fired, last = _replay(micros(rows[self.ts]).to_numpy(), kind, state[0] if state else NONE, self.gap)
+        done = np.zeros(len(rows), bool)
+        done[fired] = True
+        return pd.Series(done, index=rows.index), (int(last),)
 
-    from hourlake.operators.state import FAN_ON, FOG_OFF, FOG_ON, LAMP_ON
+
+class Switches(InOrder):
+    """Mode and three switches after each row."""
 
     names = ["auto", "fan", "lamp", "fog"]
-    schema = T.StructType(stream.schema.fields + [T.StructField(n, T.BooleanType()) for n in names])
+    state_schema = "auto boolean, fan boolean, lamp boolean, fog boolean"
+
+    def __init__(self, ts: str, tie: str, forget: float | None):
+        super().__init__([ts, tie], ["temperature", "humidity", "set_auto", "set_fan", "set_lamp", "set_fog"], forget)
 
-    def step(k, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values([ts, tie])
-        carry = dict(zip(names, state.get)) if state.exists else dict(zip(names, (True, False, False, False)))
+    def step(self, rows, state):
+        carry = dict(zip(self.names, state or (True, False, False, False)))
 
         def settle(event: pd.Series, initial: bool) -> pd.Series:
             return event.astype("boolean").ffill().fillna(initial).astype(bool)
@@ -132,13 +190,28 @@ def actuator_stream(stream: DataFrame, key: str, ts: str, tie: str) -> DataFrame
             "lamp": blank.mask(auto & t.notna(), t <= LAMP_ON).mask(~auto, obj("set_lamp")),
             "fog": blank.mask(auto & (h <= FOG_ON), True).mask(auto & (h >= FOG_OFF), False).mask(~auto, obj("set_fog")),
         }
-        out = rows.assign(auto=auto, **{n: settle(e, carry[n]) for n, e in events.items()})
-        state.update(tuple(bool(out[n].iloc[-1]) for n in names))
-        yield out
+        done = pd.DataFrame({"auto": auto, **{n: settle(e, carry[n]) for n, e in events.items()}})
+        return done, tuple(bool(done[n].iloc[-1]) for n in self.names)
 
-    return stream.groupBy(key).applyInPandasWithState(
-        step, schema, "auto boolean, fan boolean, lamp boolean, fog boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    def emit(self, frame, done):
+        return frame.assign(**{n: done[n].to_numpy() for n in self.names})
+
+
+def drop_stale_stream(stream: DataFrame, key: str, seq: str, ts: str, forget: float | None = None) -> DataFrame:
+    """Stream twin of drop_stale: state = newest time seen per source."""
+    return keyed(stream, [key], Fresh(seq, ts, forget), stream.schema)
+
+
+def cooldown_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, status: str = "status",
+                    seconds: float = 60.0, forget: float | None = None) -> DataFrame:
+    """Stream twin of apply_cooldown: state = time of the last fired alert."""
+    return keyed(stream, keys, Spaced(ts, tie, status, int(round(seconds * 1e6)), forget), stream.schema)
+
+
+def actuator_stream(stream: DataFrame, key: str, ts: str, tie: str, forget: float | None = None) -> DataFrame:
+    """Stream twin of actuator_with_commands: state = mode and three switches."""
+    schema = T.StructType(stream.schema.fields + [T.StructField(n, T.BooleanType()) for n in Switches.names])
+    return keyed(stream, [key], Switches(ts, tie, forget), schema)
 
 
 def _newest_buckets(every: DataFrame) -> DataFrame:

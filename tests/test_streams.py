@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import duckdb
 import pytest
@@ -60,6 +61,30 @@ def test_a_late_row_is_dropped(spark, tmp_path):
     assert got == {"2024-01-01 00:00:00": 10.0, "2024-01-01 06:00:00": 21.0}
 
 
+def test_silent_sensors_are_forgotten(spark, tmp_path):
+    """A source's newest time is kept over batches, and dropped when it has been silent for `forget` seconds."""
+    from hourlake.streaming import flows
+
+    def arrive(k, rows):
+        spark.createDataFrame(rows, "source string, seq int, t string").selectExpr("source", "seq", "timestamp(t) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in-{k}"))
+
+    def run(name, forget, k):
+        stream = spark.readStream.schema("source string, seq int, ts timestamp").parquet(str(tmp_path / f"in-{k}"))
+        q = flows.drop_stale_stream(stream, "source", "seq", "ts", forget).writeStream.format("parquet").option("path", str(tmp_path / name))
+        q.option("checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.seq for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(empty, "false")
+    arrive("a", [("s", 1, "2024-01-01 10:00:00"), ("s", 2, "2024-01-01 09:00:00"), ("s", 3, None)])
+    assert run("kept", None, "a") == run("short", 0.5, "a") == [1, 3]
+    time.sleep(1)
+    arrive("a", [("s", 4, "2024-01-01 09:30:00"), ("s", 5, "2024-01-01 09:30:00"), ("s", 6, "2024-01-01 11:00:00")])
+    assert run("kept", None, "a") == [1, 3, 6]
+    assert run("short", 0.5, "a") == [1, 3, 4, 6]
+    spark.conf.unset(empty)
+
+
 def test_python_stages_run_from_another_folder(tmp_path):
     """The driver finds the package on its path only; the workers get it by ship_package."""
     top = os.path.dirname(os.path.abspath(entry.__file__))
