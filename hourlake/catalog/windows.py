@@ -251,7 +251,7 @@ def t4(v):
 @query("t5_top_models", f"""WITH {_BOARD} SELECT {_M} FROM (SELECT *, row_number() OVER (PARTITION BY target_variable
   ORDER BY coalesce(is_best, rank_order = 1) DESC, {_ORDER}, location_id NULLS FIRST) AS rn FROM board) WHERE rn <= 5""")
 def t5(v):
-    return evaluation.top_models(evaluation.leaderboard(steady(v.model_metrics)), 5).select(*_M.split(", "))
+    return evaluation.top_models(evaluation.leading_models(steady(v.model_metrics), 5), 5).select(*_M.split(", "))
 
 
 @query("t6_forecast_head", f"""SELECT device_id, forecast_ts, {r('temperature')} AS temperature, {r('humidity')} AS humidity FROM (SELECT *,

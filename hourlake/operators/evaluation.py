@@ -140,6 +140,17 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     return r.withColumn("is_best", F.coalesce("is_best", F.col("rank_order") == 1))
 
 
+def leading_models(metrics: DataFrame, n: int) -> DataFrame:
+    """Rows of the leaderboard that can be among the first n of a target, without ranking all.
+
+    The first n of each target with one value of the flag hold them, and the row of rank 1, which
+    a missing flag needs.
+    """
+    order = [*best_order(), F.col("location_id").asc_nulls_first()]
+    few = with_rank(keep_first(metrics, ["target_variable", "is_best"], order, n), ["target_variable"], order)
+    return few.withColumn("is_best", F.coalesce("is_best", F.col("rank_order") == 1)).drop("rank_order")
+
+
 def sort_leaderboard(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(
         F.col("target_variable").asc(), F.col("is_best").desc(), F.col("rmse").asc_nulls_last(),

@@ -307,3 +307,20 @@ def test_recursive_forecast_keeps_series_without_a_metric(spark):
                      "cold": ("insufficient_data", True), "none": ("insufficient_data", True)}
     want = {(r.device_id, r.horizon_step): r.base_forecast_value for r in forecast.fallback_forecast(hist, ["device_id"], H).where("metric_type = 'temperature'").collect()}
     assert all(r.base_forecast_value == want[r.device_id, r.horizon_step] for r in got if r.device_id in ("dry", "cold", "none"))
+
+
+def test_leading_models_without_a_full_rank(spark):
+    """The first n per target are those of the whole leaderboard, whatever the flags and ties."""
+    import random
+
+    from hourlake.operators import evaluation
+
+    r = random.Random(4)
+    rows = [(r.choice("th"), r.choice((None, None, True, False)) if k % 2 else None, r.choice((None, 1.0, 2.0, 3.0, 4.0)), r.choice((0.5, 1.0)), r.random(), "global", f"l{k}", f"m{k % 7}", "x", f"u{k}")
+            for k in range(300)]
+    schema = "target_variable string, is_best boolean, rmse double, mae double, r2 double, training_mode string, location_id string, model_name string, model_type string, model_uri string"
+    metrics = spark.createDataFrame(rows, schema).selectExpr("*", "timestamp('2024-01-01') AS created_at")
+    for n in (1, 5, 40):
+        want = evaluation.top_models(evaluation.leaderboard(metrics).drop("rank_order"), n)
+        got = evaluation.top_models(evaluation.leading_models(metrics, n), n)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 2 * n
