@@ -308,11 +308,17 @@ class Views:
         """Forecasts of the gateways, per source (device) and time."""
         return forecast.forecast_wide(self.forecast_table, ["device_id", "location_id"])
 
+    @cached_property
+    def source_gateway(self) -> DataFrame:
+        """Every device source and the gateway of its nation, whose forecast it follows."""
+        return self.iot_devices.select("source", F.concat(F.lit("gw_"), "c_nationkey").alias("device_id"))
+
     @cached_property
     def sensor_forecast(self) -> DataFrame:
         """Forecast of every device source: the series of its nation's gateway."""
-        d = self.iot_devices.select("source", F.concat(F.lit("gw_"), "c_nationkey").alias("device_id"))
-        return d.join(self.wide_forecast, "device_id").select(
+        # dealt out first: a few MB of sources would become all their forecasts in one task
+        dealt = self.source_gateway.repartition(matching.shuffle_partitions(self.iot_devices), "source")
+        return dealt.join(self.wide_forecast, "device_id").select(
             "source", "forecast_ts", "temperature", "humidity", "generated_at"
         )
 

@@ -188,3 +188,42 @@ def new_rows(cands: DataFrame, existing: DataFrame, keys: list[str]) -> DataFram
         c = F.col(k).eqNullSafe(F.col(f"_e_{k}"))
         on = c if i == 0 else on & c
     return cands.join(e, on, "left_anti")
+
+
+#: What a key follows: the sorted `by` values, and one of PARTS parts of the keys that follow the same ones.
+SHARED, PARTS = "_series", 16
+
+
+def shared_by(keys: list[str], values: Column) -> Column:
+    return F.struct(F.pmod(F.hash(*keys), F.lit(PARTS)).alias("part"), values.alias("of")).alias(SHARED)
+
+
+def shared_series(members: DataFrame, forecast: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """(one row per key with its series, the rows of each series).
+
+    `members` says which `by` values a key follows, a value as often as there are rows for it.
+    Whatever is worked out per series is worked out once a part, not for each of its keys.
+    """
+    followers = members.groupBy(*keys).agg(F.sort_array(F.collect_list(by)).alias("_of")).select(*keys, shared_by(keys, F.col("_of")))
+    each = followers.select(SHARED).distinct().select(SHARED, F.explode(F.col(SHARED)["of"]).alias(by))
+    return followers, each.join(forecast, by).drop(by)
+
+
+def beside(actual: DataFrame, followers: DataFrame, series: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Full outer join, on keys and time, of actual rows and the rows of the series that their keys follow.
+
+    Actual rows look up their matches. All other series rows go to their keys in the last step, which
+    leaves out the matched times of a key (a list no longer than its series), so that the copies of a
+    series are never shuffled or grouped. Keys are dealt out by number: a few MB of them become all the
+    copies, and by their size they would be put into one task.
+    """
+    mine, theirs = [c for c in actual.columns if c not in (*keys, ts)], [c for c in series.columns if c not in (SHARED, ts)]
+    found = actual.join(followers, keys, "left").join(series.withColumn("_hit", F.lit(True)), [SHARED, ts], "left")
+    seen = found.where("_hit").groupBy(*keys).agg(F.collect_set(ts).alias("_seen"))
+    dealt = followers.join(seen, keys, "left").repartition(shuffle_partitions(actual), SHARED)
+    left = dealt.join(series, SHARED).where(~F.coalesce(F.array_contains("_seen", F.col(ts)), F.lit(False)))
+    return found.select(*keys, ts, *mine, *theirs).unionByName(left.select(*keys, ts, *theirs), allowMissingColumns=True)
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

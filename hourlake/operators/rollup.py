@@ -1,9 +1,12 @@
 """Hourly rollups, coverage, summaries - all with map-side partial aggregation."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourlake.functions import measure, when
+from hourlake.operators import matching
 
 KEYS = ["device_id", "location_id", "province_id"]
 
@@ -107,31 +110,52 @@ def to_wide(df: DataFrame, keys: list[str], grain: str = "hour", metrics=("tempe
 
 
 def chart_rollup(actual: DataFrame, forecast: DataFrame, keys: list[str], grain: str,
-                 first_day: str, last_day: str, shift_hours: int = 7) -> DataFrame:
+                 first_day: str, last_day: str, shift_hours: int = 7, members: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Actual and forecast averages side by side per local hour or day.
 
-    Days of the range without data are present for every key seen; hours are not filled.
+    Days of the range without data are present for every key seen; hours are not filled. With
+    `members` (keys, `by`) the forecasts are those of the `by` values that a key follows: they are
+    averaged once for all keys that follow the same ones.
     """
     lo, hi = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
 
-    def side(df, ts, names):
+    def inside(df, ts):
         shift = F.expr(f"INTERVAL {int(shift_hours)} HOURS")
         # bounds on the plain column, so that the scan can skip other days
         at = F.col(ts) if df.schema[ts].dataType.simpleString().startswith("timestamp") else when.as_ts(ts)
         after, until = lo.cast("timestamp") - shift, F.date_add(hi, 1).cast("timestamp") - shift
-        inside = df.where((at >= after) & (at < until)).withColumn("_local", at + shift)
-        return inside.groupBy(*keys, F.date_trunc(grain, "_local").alias("bucket_ts")).agg(
+        return df.where((at >= after) & (at < until)).withColumn("_local", at + shift)
+
+    def side(rows, keys, names):
+        return rows.groupBy(*keys, F.date_trunc(grain, "_local").alias("bucket_ts")).agg(
             *[F.avg(c).alias(n) for c, n in names.items()]
         )
 
-    a = side(actual, "event_ts", {"temperature": "temperature", "humidity": "humidity"})
-    f = side(
-        forecast, "forecast_ts", {"temperature": "forecast_temperature", "humidity": "forecast_humidity"}
-    )
+    names = {"temperature": "forecast_temperature", "humidity": "forecast_humidity"}
+    a = side(inside(actual, "event_ts"), keys, {m: m for m in names})
+    days = F.explode(F.sequence(lo.cast("timestamp"), hi.cast("timestamp"), F.expr("INTERVAL 1 DAY"))).alias("bucket_ts")
+    if members is not None:
+        followers, series = matching.shared_series(members, inside(forecast, "forecast_ts"), keys, by)
+        f = side(series, [matching.SHARED], names)
+        if grain == "day":
+            a, followers, f = _with_all_days(a, followers, f, keys, days)
+        return matching.beside(a, followers, f, keys, "bucket_ts")
+    f = side(inside(forecast, "forecast_ts"), keys, names)
     both = a.join(f, [*keys, "bucket_ts"], "full_outer")
     if grain != "day":
         return both
-    days = both.select(*keys).distinct().withColumn(
-        "bucket_ts", F.explode(F.sequence(lo.cast("timestamp"), hi.cast("timestamp"), F.expr("INTERVAL 1 DAY")))
-    )
-    return days.join(both, [*keys, "bucket_ts"], "left")
+    return both.select(*keys).distinct().select(*keys, days).join(both, [*keys, "bucket_ts"], "left")
+
+
+def _with_all_days(a: DataFrame, followers: DataFrame, f: DataFrame, keys: list[str], days: Column):
+    """The sides of a chart such that every key seen follows a series with all days.
+
+    Keys with actual rows only, or with a NULL, follow the empty series, whose days have no values.
+    """
+    named = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    nothing = matching.shared_by(keys, F.array().cast(followers.schema[matching.SHARED].dataType["of"].dataType))
+    seen = followers.join(f.select(matching.SHARED).distinct(), matching.SHARED, "left_semi").select(*keys, matching.SHARED)
+    known = seen.union(a.select(*keys).distinct().select(*keys, nothing)).groupBy(*keys).agg(F.max(matching.SHARED).alias(matching.SHARED))
+    known = known.withColumn(matching.SHARED, F.when(named, F.col(matching.SHARED)).otherwise(nothing))
+    spine = known.select(matching.SHARED).distinct().select(matching.SHARED, days)
+    return a.where(named), known, spine.join(f, [matching.SHARED, "bucket_ts"], "left")

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from hourlake.operators import forecast, spacing, stations, tables
+from hourlake.operators import features, forecast, rollup, spacing, stations, tables
 from hourlake.plans import training
 from hourlake.streaming import flows
 
@@ -123,3 +123,26 @@ def test_latest_state_writes_touched_buckets_only(spark, tmp_path):
     sink(spark.createDataFrame([("new", 1)], "sensor_id string, id long").selectExpr("sensor_id", "timestamp_seconds(id) AS event_ts", "id"), 2)
     sink(one.limit(0), 3)
     assert flows.newest_version(spark, path).count() == 501
+
+
+def chart_sides(spark):
+    """Keys that follow one series, the same one, two, one twice, none that exists; NULL keys and times; a matched time."""
+    hours = "{0} string, {1} timestamp, {2} double, {3} double"
+    members = [("a", "g"), ("b", "g"), ("c", "g"), ("c", "h"), ("d", "h"), ("d", "h"), ("e", "none"), ("f", None), (None, "g")]
+    ahead = [("g", at(600), None, None), ("g", at(660), 1.0, 2.0), ("g", at(720), 2.0, None), ("h", at(660), None, 5.0), ("h", at(2160), 4.0, 6.0), (None, at(660), 9.0, 9.0)]
+    seen = [("a", at(540), 7.0, None), ("a", at(540), None, 3.0), ("a", at(660), 8.0, 1.0), ("a", at(661), 8.5, 1.0), ("c", at(600), 5.0, None), ("d", at(30), 6.0, 6.0),
+            ("x", at(660), 1.5, None), (None, at(660), 2.5, 2.5), ("b", None, 3.5, 3.5)]
+    return (spark.createDataFrame(seen, hours.format("k", "event_ts", "temperature", "humidity")), spark.createDataFrame(ahead, hours.format("g", "forecast_ts", "temperature", "humidity")),
+            spark.createDataFrame(members, "k string, g string"))
+
+
+def charts(spark, grain):
+    """Rows of the chart over shared series, and over forecasts copied to every key."""
+    actual, ahead, members = chart_sides(spark)
+    side = lambda f, **kw: sorted(map(str, rollup.chart_rollup(actual, f, ["k"], grain, "2024-01-01", "2024-01-03", 0, **kw).collect()))
+    return side(ahead, members=members, by="g"), side(members.join(ahead, "g").drop("g"))
+
+
+def test_hours_of_shared_series_are_those_of_copied_ones(spark):
+    shared, copied = charts(spark, "hour")
+    assert shared == copied
