@@ -197,9 +197,9 @@ _CHART = f"""chart AS (
   FROM chart c LEFT JOIN lst l ON l.source = c.source""")
 def w15(v):
     a = v.readings.select(F.col("sensor_id").alias("source"), F.col("event_ts").alias("ts"), "temperature", "humidity")
-    f = v.sensor_forecast.select("source", F.col("forecast_ts").alias("ts"), F.col("temperature").alias("forecast_temperature"),
-                                 F.col("humidity").alias("forecast_humidity"))
-    out = features.bridge(a.join(f, ["source", "ts"], "full_outer"), ["source"], "ts")
+    f = v.wide_forecast.select("device_id", F.col("forecast_ts").alias("ts"), F.col("temperature").alias("forecast_temperature"),
+                               F.col("humidity").alias("forecast_humidity"))
+    out = features.bridge_beside(a, f, ["source"], "ts", v.source_gateway, "device_id")
     return rounded(out.select("source", "ts", "forecast_temperature", "forecast_temperature_bridge"))
 
 

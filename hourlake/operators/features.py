@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourlake.functions import when
+from hourlake.operators import matching
 from hourlake.operators.ranking import dedupe, newest
 
 SERIES = ["location_id", "device_id"]
@@ -187,12 +188,30 @@ def bridge(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     last = (
         marked.where(act & (F.col(ts) < F.col("_first"))).groupBy(*keys).agg(F.max(ts).alias("_last"))
     )
+    return _copied(df.join(last, keys, "left"), ts)
+
+
+def bridge_beside(actual: DataFrame, forecast: DataFrame, keys: list[str], ts: str, members: DataFrame, by: str) -> DataFrame:
+    """`bridge` over actual rows beside the forecasts of the `by` values that their keys follow.
+
+    The last actual is marked before the forecasts are laid beside, so forecasts go from series to
+    keys in the last step and are neither shuffled nor sorted per key.
+    """
+    followers, series = matching.shared_series(members, forecast, keys, by)
+    fc = F.col("forecast_temperature").isNotNull() | F.col("forecast_humidity").isNotNull()
+    act = F.col("temperature").isNotNull() | F.col("humidity").isNotNull()
+    first = series.where(fc).groupBy(matching.SHARED).agg(F.min(ts).alias("_first"))
+    last = actual.where(act).select(*keys, ts).join(followers, keys).join(first, matching.SHARED)
+    last = last.where(F.col(ts) < F.col("_first")).groupBy(*keys).agg(F.max(ts).alias("_last"))
+    return _copied(matching.beside(actual.join(last, keys, "left"), followers, series, keys, ts), ts)
+
+
+def _copied(df: DataFrame, ts: str) -> DataFrame:
     hit = F.col(ts) == F.col("_last")
-    out = df.join(last, keys, "left")
     for m in ("temperature", "humidity"):
         f = f"forecast_{m}"
         use = hit & F.col(m).isNotNull() & F.col(f).isNull()
-        out = out.withColumn(f"{f}_bridge", F.coalesce(use, F.lit(False))).withColumn(
+        df = df.withColumn(f"{f}_bridge", F.coalesce(use, F.lit(False))).withColumn(
             f, F.when(use, F.col(m)).otherwise(F.col(f))
         )
-    return out.drop("_last")
+    return df.drop("_last")

@@ -146,3 +146,23 @@ def charts(spark, grain):
 def test_hours_of_shared_series_are_those_of_copied_ones(spark):
     shared, copied = charts(spark, "hour")
     assert shared == copied
+
+
+def test_bridges_over_shared_series_are_those_over_copied_ones(spark):
+    actual, ahead, members = chart_sides(spark)
+    a = actual.withColumnRenamed("event_ts", "ts")
+    f = ahead.select("g", F.col("forecast_ts").alias("ts"), F.col("temperature").alias("forecast_temperature"), F.col("humidity").alias("forecast_humidity"))
+    plain = features.bridge(a.join(members.join(f, "g").drop("g"), ["k", "ts"], "full_outer"), ["k"], "ts")
+    shared = features.bridge_beside(a, f, ["k"], "ts", members, "g")
+    rows = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+    assert rows(shared) == rows(plain) and sum(r.forecast_temperature_bridge for r in shared.collect()) >= 2
+
+
+def test_copies_of_a_series_are_not_shuffled(spark):
+    actual, ahead, members = chart_sides(spark)
+    a, f = actual.withColumnRenamed("event_ts", "ts"), ahead.withColumnsRenamed({"forecast_ts": "ts", "temperature": "forecast_temperature", "humidity": "forecast_humidity"})
+    charts = [rollup.chart_rollup(actual, ahead, ["k"], g, "2024-01-01", "2024-01-03", members=members, by="g") for g in ("hour", "day")]
+    for df in (*charts, features.bridge_beside(a, f, ["k"], "ts", members, "g")):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        # from the join that copies a series to its keys on, rows are only filtered and picked; keys come dealt out by number
+        assert "FullOuter" not in text and "RepartitionByExpression [_series" in text
