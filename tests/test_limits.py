@@ -148,6 +148,11 @@ def test_hours_of_shared_series_are_those_of_copied_ones(spark):
     assert shared == copied
 
 
+def test_days_of_shared_series_are_those_of_copied_ones(spark):
+    shared, copied = charts(spark, "day")
+    assert shared == copied and len(shared) == 6 * 3
+
+
 def test_bridges_over_shared_series_are_those_over_copied_ones(spark):
     actual, ahead, members = chart_sides(spark)
     a = actual.withColumnRenamed("event_ts", "ts")
