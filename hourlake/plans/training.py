@@ -1,7 +1,10 @@
 """Training, evaluation and model forecasts as Spark jobs."""
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
@@ -95,42 +98,54 @@ def training_frame(features: DataFrame) -> DataFrame:
 
 
 def train_global(df: DataFrame, created_at: Column, targets: dict[str, str] = TARGETS, profile: str = "quick",
-                 ratio: float = 0.2, final_refit: bool = False, trees: int | None = None, bins: int = 64):
-    """Fit and score every model on every target.
+                 ratio: float = 0.2, final_refit: bool = False, trees: int | None = None, bins: int = 64, parallelism: int = 8):
+    """Fit and score every model on every target, `parallelism` of them at a time.
 
     Returns (metrics, models): metrics rows with `is_best` on the winner by
     (rmse, mae, r2) of the run, and the fitted pipelines by (target, name).
     A family that cannot take the rows gets a row with status `unsuitable` and the
     reason; no model left is an error, and so is any other failure.
     """
-    models, rows = {}, []
-    for target, label in targets.items():
-        usable = df.dropna(subset=[*NUMERIC, label])
-        train, test = evaluation.split_by_time(usable, "hour_ts", ratio, exact=False)
-        # the preparation is the same for every model: fit it once, keep only what models read
-        prepared = Pipeline(stages=preprocess_stages()).fit(train)
-        inputs = lambda d: prepared.transform(d).select("features", label)
-        train, test = inputs(train).persist(), inputs(test).persist()
-        whole = Pipeline(stages=preprocess_stages()).fit(usable) if final_refit else None
+    models, rows, kept, todo = {}, [], [], []
+
+    def fit(target, label, name, estimator, prepared, train, test, n_train, usable, whole):
         try:
+            fitted = estimator.fit(train)
+            # one row per model comes back
+            m = evaluation.regression_metrics(fitted.transform(test), label, "prediction").first()
+            if final_refit:
+                model = chained(whole, estimator.fit(whole.transform(usable).select("features", label)))
+            else:
+                model = chained(prepared, fitted)
+        except IllegalArgumentException as e:  # this family cannot take these rows; anything else is an error
+            return (name, "spark_mllib", "global", None, target, *[None] * 5, n_train, None, None, "unsuitable", str(e)[:300]), None
+        return (name, "spark_mllib", "global", None, target, m["mae"], m["rmse"], m["rse"], m["mape"], m["r2"],
+                n_train, m["n"], f"{target}/{name}", "trained", None), model
+
+    try:
+        for target, label in targets.items():
+            usable = df.dropna(subset=[*NUMERIC, label])
+            train, test = evaluation.split_by_time(usable, "hour_ts", ratio, exact=False)
+            # the preparation is the same for every model: fit it once, keep only what models read
+            prepared = Pipeline(stages=preprocess_stages()).fit(train)
+            inputs = lambda d: prepared.transform(d).select("features", label)  # noqa: B023
+            train, test = inputs(train).persist(), inputs(test).persist()
+            kept += [train, test]
+            whole = Pipeline(stages=preprocess_stages()).fit(usable) if final_refit else None
             n_train = train.count()
-            for name, estimator in model_specs(label, profile, trees, bins).items():
-                try:
-                    fitted = estimator.fit(train)
-                    # one row per model comes back
-                    m = evaluation.regression_metrics(fitted.transform(test), label, "prediction").first()
-                    if final_refit:
-                        models[target, name] = chained(whole, estimator.fit(whole.transform(usable).select("features", label)))
-                    else:
-                        models[target, name] = chained(prepared, fitted)
-                except IllegalArgumentException as e:  # this family cannot take these rows; anything else is an error
-                    rows.append((name, "spark_mllib", "global", None, target, *[None] * 5, n_train, None, None, "unsuitable", str(e)[:300]))
-                    continue
-                rows.append((name, "spark_mllib", "global", None, target, m["mae"], m["rmse"], m["rse"], m["mape"], m["r2"],
-                             n_train, m["n"], f"{target}/{name}", "trained", None))
-        finally:
-            train.unpersist()
-            test.unpersist()
+            todo += [(target, label, name, e, prepared, train, test, n_train, usable, whole)
+                     for name, e in model_specs(label, profile, trees, bins).items()]
+        # hourly rows are few and boosting is a chain of small jobs: models are fitted side by side
+        run = inheritable_thread_target(df.sparkSession)(lambda x: (x[0], x[2], *fit(*x)))
+        with ThreadPool(max(1, min(len(todo), parallelism))) as pool:
+            for target, name, row, model in pool.map(run, todo, chunksize=1):
+                rows.append(row)
+                if model is not None:
+                    models[target, name] = model
+    finally:
+        for d in kept:
+            d.unpersist()
+    for target in targets:
         if not any(t == target for t, _ in models):
             raise ValueError(f"no model could be trained for {target}")
     return finish_metrics(df.sparkSession.createDataFrame(rows, METRIC_ROWS), created_at), models

@@ -171,3 +171,29 @@ def test_copies_of_a_series_are_not_shuffled(spark):
         text = df._jdf.queryExecution().optimizedPlan().toString()
         # from the join that copies a series to its keys on, rows are only filtered and picked; keys come dealt out by number
         assert "FullOuter" not in text and "RepartitionByExpression [_series" in text
+
+
+def test_families_of_both_targets_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.regression import LinearRegression
+
+    class Waits(LinearRegression):
+        """Fits once four fits have begun."""
+
+        begun = threading.Barrier(4)
+
+        def fit(self, rows):
+            self.begun.wait(60)
+            return super().fit(rows)
+
+    hour = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)
+    df = spark.range(300).select(
+        hour.alias("hour_ts"), *[F.lit(c).alias(c) for c in training.CATEGORICAL], *[((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(training.NUMERIC)],
+        *[(F.col("id") % (5 + i)).cast("double").alias(c) for i, c in enumerate(training.TARGETS.values())])
+    df = spark.createDataFrame(df.collect(), df.schema)
+    specs = lambda label, *_: {n: Waits(maxIter=5, regParam=reg, featuresCol="features", labelCol=label) for n, reg in (("x", 0.1), ("y", 0.2))}
+    monkeypatch.setattr(training, "model_specs", specs)
+    metrics, models = training.train_global(df, F.lit("2024-02-01").cast("timestamp"))
+    assert sorted(models) == [(t, n) for t in sorted(training.TARGETS) for n in "xy"]
+    assert [(r.model_name, r.target_variable) for r in metrics.where("status = 'trained'").sort("target_variable", "model_name").collect()] == [(n, t) for t in sorted(training.TARGETS) for n in "xy"]
